@@ -45,4 +45,4 @@ def is_negative(rating: Column) -> Column:
 
 def percent_text(ratio: Column, digits: int = 1) -> Column:
     """0.1234 -> '12.3%'. Rounded first, so the text never depends on the formatter's tie rule."""
-    return F.format_string(f"%.{digits}f%%", F.round(ratio * 100, digits))
+    return F.when(ratio.isNotNull(), F.format_string(f"%.{digits}f%%", F.round(ratio * 100, digits)))

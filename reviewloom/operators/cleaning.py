@@ -57,23 +57,17 @@ def with_typed_columns(df: DataFrame) -> DataFrame:
 
 def mask_and_clean(df: DataFrame) -> DataFrame:
     """Masked review_text, clean_text, review_len and the flags. Row-wise: works on streams too."""
-    masked = df.withColumn("_masked", tx.mask_pii(F.col("review_text")))
-    flagged = masked.select(
+    masked = tx.with_once(df, "_masked", tx.mask_pii(F.col("review_text")))
+    cleaned = tx.with_once(masked, "clean_text", tx.clean_text(F.col("_masked")))
+    flag = F.coalesce(F.col("_masked") != F.col("review_text"), F.lit(False))
+    return cleaned.select(
         *[F.col(c) for c in df.columns if c != "review_text"],
-        F.col("review_text").alias("_original"),
-        F.col("_masked").alias("review_text"),
-        tx.clean_text(F.col("_masked")).alias("clean_text"),
-        F.coalesce(F.col("_masked") != F.col("review_text"), F.lit(False)).alias("has_pii_masked"),
-    )
-    return flagged.withColumns({
-        "review_len": F.length("clean_text"),
-        "needs_human_review": F.col("has_pii_masked"),
-    })
+        F.col("_masked").alias("review_text"), "clean_text", F.length("clean_text").alias("review_len"),
+        flag.alias("has_pii_masked"), flag.alias("needs_human_review"))
 
 
-def keep_long_enough(masked: DataFrame, min_len: int = fv.MIN_REVIEW_LEN) -> DataFrame:
-    keep = tx.long_enough(F.col("_original"), F.col("clean_text"), min_len)
-    return masked.filter(keep).drop("_original")
+def keep_long_enough(cleaned: DataFrame, min_len: int = fv.MIN_REVIEW_LEN) -> DataFrame:
+    return cleaned.filter(F.col("review_len") >= min_len)
 
 
 def deduplicated(raw: DataFrame, keys: list[str] = fv.DEDUPE_KEY) -> DataFrame:

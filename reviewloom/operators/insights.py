@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,12 @@ from reviewloom.operators import search
 from reviewloom.operators import terms
 
 
+def summary_table(df: DataFrame) -> DataFrame:
+    """Marks a finished aggregate (a few rows per app) to be kept after its first use, because the
+    frames built on it read it several times. Never used on review rows."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def own_value(metrics: DataFrame, own_app: str, column: str) -> Column:
     """One figure of the own app as a scalar subquery (null when the app is missing)."""
     return metrics.filter(F.col("app_name") == own_app).select(column).scalar()
@@ -71,6 +78,7 @@ def gap_analysis(metrics: DataFrame, complaints: DataFrame, own_app: str) -> Dat
     a single 'error' row when the own app is not in the metrics.
     """
     num = "double"
+    metrics, complaints = summary_table(metrics), summary_table(complaints)
     strengths = competitor_strengths(metrics, own_app).select(
         F.lit("competitor_strength").alias("kind"), "app_name", "metric",
         F.col("value").cast(num), F.col("own_value").cast(num).alias("reference_value"))
@@ -189,9 +197,9 @@ def report_rows(clean: DataFrame, rules: IssueRules, own_app: str,
     """
     fmt = fv.REPORT_FORMATS
     own = clean.filter(F.col("app_name") == own_app)
-    metrics = ag.app_metrics(clean)
+    metrics = summary_table(ag.app_metrics(clean))
     own_m = metrics.filter(F.col("app_name") == own_app)
-    complaints = issues.top_complaints(own, rules)
+    complaints = summary_table(issues.top_complaints(own, rules))
     listed = complaints.agg(F.array_sort(F.collect_list(F.struct("rank", "issue_type", "n"))).alias("items"))
 
     def lines(section: int, df: DataFrame, line: Column, text: Column) -> DataFrame:
@@ -243,7 +251,7 @@ def report_rows(clean: DataFrame, rules: IssueRules, own_app: str,
         4, ahead.filter(F.size("b") == 0), F.lit(1), fill(fmt["better_none"], app=own_app)))
     better = better.unionByName(lines(4, ahead, F.lit(4), F.lit(fmt["better_note"])))
 
-    ev = search.evidence(own)
+    ev = summary_table(search.evidence(own))
     shown = lines(5, ev, F.col("evidence_no"), fill(
         fmt["evidence"], i=F.col("evidence_no").cast("string"), source=F.col("source"), text=F.col("text")))
     ev_count = ev.agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") == 0)

@@ -14,7 +14,7 @@ from reviewloom.functions.rules import IssueRules
 def tag_issues(df: DataFrame, rules: IssueRules, text_col: str = "clean_text") -> DataFrame:
     """Adds ``issue_types``; the text is normalised once per row."""
     keep = [F.col(c) for c in df.columns]
-    norm = df.select(*keep, tx.normalize(F.col(text_col)).alias("_norm"))
+    norm = tx.with_once(df, "_norm", tx.normalize(F.col(text_col)))
     matched = norm.select(*keep, "_norm", rules.matched_types(F.col("_norm")).alias("_matched"))
     return matched.select(*keep, "_norm", rules.or_other(F.col("_matched")).alias("issue_types"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.rules import IssueRules, ReplyPolicy
 from reviewloom.operators.cleaning import SEQ
+from reviewloom.sources.reviews import spread_small
 
 DOC_OWN_APP = "src0"
 EVENT_OWN_APP = "purchase"
@@ -75,7 +76,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def document_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents + labels as reviews: app = source, store = lang, rating from the labels."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     rating = (F.when(F.col("toxic") == 1, F.lit(1)).when(F.col("quality") == 0, 2)
               .when(F.col("quality") == 1, 3 + F.col("doc_id") % 3))

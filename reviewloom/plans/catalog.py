@@ -27,6 +27,7 @@ from reviewloom.operators import terms as te
 from reviewloom.plans import adapters as ad
 from reviewloom.plans import sentiment as sm
 from reviewloom.plans import topics as tp
+from reviewloom.plans.stages import materialize
 from reviewloom.sources import registry as rg
 from reviewloom.sources import reviews as rv
 from reviewloom.sources import sinks as sk
@@ -61,8 +62,20 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return ad.document_reviews(spark, sf)
 
 
+_SHARED: dict[tuple, object] = {}
+
+
+def shared(kind: str, spark: SparkSession, sf: str, make: Callable[[], object]):
+    """Made once per application and data folder, then used by every query on it."""
+    key = (kind, spark.sparkContext.applicationId, sf)
+    if key not in _SHARED:
+        _SHARED[key] = make()
+    return _SHARED[key]
+
+
 def clean_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return cl.clean_reviews(docs(spark, sf))
+    """The clean-review stage table that all analyses start from."""
+    return shared("clean", spark, sf, lambda: materialize(cl.clean_reviews(docs(spark, sf)), "clean"))
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +94,8 @@ def scored_conversations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def clean_reviews(spark, sf):
-    return clean_docs(spark, sf).select(
+    """The whole cleaning chain, not the stage table."""
+    return cl.clean_reviews(docs(spark, sf)).select(
         SEQ, "app_name", "store", "rating", day("date"), "review_text", "clean_text", "review_len",
         "has_pii_masked", "needs_human_review")
 
@@ -593,55 +607,59 @@ def human_label_rows(spark, sf):
 
 # --- models (no SQL counterpart) ------------------------------------------------------------
 
+def _trained(spark, sf) -> sm.Trained:
+    return shared("sentiment", spark, sf, lambda: sm.train_models(
+        sm.labelled_dataset(clean_docs(spark, sf)), [sm.BASELINE, *sm.EXPERIMENTS]))
+
+
+def _topics(spark, sf) -> tp.TopicModel:
+    return shared("topics", spark, sf, lambda: tp.fit_topics(clean_docs(spark, sf), k=10))
+
+
 @query
 def sentiment_models(spark, sf):
-    data = sm.labelled_dataset(clean_docs(spark, sf))
-    return rounded(sm.train_models(data, [sm.BASELINE, *sm.EXPERIMENTS]).scores)
+    return rounded(_trained(spark, sf).scores)
 
 
 @query
 def model_selection(spark, sf):
-    data = sm.labelled_dataset(clean_docs(spark, sf))
-    scores = sm.train_models(data, [sm.BASELINE, *sm.EXPERIMENTS]).scores
-    return rounded(sm.select_model(scores, [sm.MAJORITY_NAME, sm.BASELINE.name]))
+    return rounded(sm.select_model(_trained(spark, sf).scores, [sm.MAJORITY_NAME, sm.BASELINE.name]))
 
 
 @query
 def misclassified(spark, sf):
-    data = sm.labelled_dataset(clean_docs(spark, sf))
-    trained = sm.train_models(data, [sm.BASELINE], with_majority=False)
+    trained = _trained(spark, sf)
     return sm.misclassified(sm.predict(trained.models[sm.BASELINE.name], trained.test))
 
 
 @query
 def human_label_eval(spark, sf):
-    clean = clean_docs(spark, sf)
-    trained = sm.train_models(sm.labelled_dataset(clean), [sm.BASELINE], with_majority=False)
+    """Every human-labelled review, judged by the baseline model."""
     human = ad.table(spark, sf, "labels").select(
         F.col("doc_id").alias(SEQ),
         F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("sentiment_manual"))
-    return rounded(sm.evaluate_on_human_labels(
-        trained.models[sm.BASELINE.name], clean.join(human, SEQ)))
+    model = _trained(spark, sf).models[sm.BASELINE.name]
+    return rounded(sm.evaluate_on_human_labels(model, clean_docs(spark, sf).join(human, SEQ)))
 
 
 @query
 def topic_summary(spark, sf):
-    return tp.topic_summary(tp.fit_topics(clean_docs(spark, sf), k=10))
+    return tp.topic_summary(_topics(spark, sf))
 
 
 @query
 def topic_keywords(spark, sf):
-    return rounded(tp.topic_keywords(tp.fit_topics(clean_docs(spark, sf), n_init=1)))
+    return rounded(tp.topic_keywords(_topics(spark, sf)))
 
 
 @query
 def representative_docs(spark, sf):
-    return rounded(tp.representative_reviews(tp.fit_topics(clean_docs(spark, sf), n_init=1)))
+    return rounded(tp.representative_reviews(_topics(spark, sf)))
 
 
 @query
 def topic_metrics(spark, sf):
-    return rounded(tp.topic_metrics(tp.fit_topics(clean_docs(spark, sf), n_init=1)))
+    return rounded(tp.topic_metrics(_topics(spark, sf)))
 
 
 # --- sources and sinks ----------------------------------------------------------------------

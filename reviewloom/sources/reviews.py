@@ -52,6 +52,13 @@ def read_review_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread_small(scan: DataFrame, key: str) -> DataFrame:
+    """Gives a small scan one partition per core: a file of a few megabytes is a single split, and
+    text work on it would run on one core. A scan with more splits than cores is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
 def with_ingest_seq(df: DataFrame) -> DataFrame:
     """Numbers rows in scan order (no shuffle)."""
     return df if SEQ in df.columns else df.withColumn(SEQ, F.monotonically_increasing_id())
