@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder all executors see, as the cluster names it; None where it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -12,6 +12,8 @@ SETTINGS = {
     # Joins may be split even when that adds a shuffle afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Measured sides up to this size are broadcast; larger ones are shuffled.
+    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
 }
 
 
