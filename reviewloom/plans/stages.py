@@ -27,3 +27,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def fewer_partitions(df: DataFrame, rows: int, rows_per_partition: int = 20_000) -> DataFrame:
+    """Merges the partitions of a small training set: every iteration of a solver schedules one task
+    per partition, which for a few rows each costs more than the work. Large sets are unchanged."""
+    wanted = max(1, -(-rows // rows_per_partition))
+    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df

@@ -66,8 +66,8 @@ def test_stage_table_goes_to_the_shared_folder(spark, tmp_path, monkeypatch):
     assert out.count() == 10 and any(n.startswith("stage-x-") for n in os.listdir(tmp_path))
 
 
-def test_without_a_shared_folder_the_stage_is_persisted(spark):
-    assert stages.shared_folder(spark) is None
+def test_without_a_shared_folder_the_stage_is_persisted(spark, monkeypatch):
+    monkeypatch.setattr(stages, "shared_folder", lambda _: None)
     out = stages.materialize(spark.range(10), "x")
     assert out.storageLevel.useDisk
     out.unpersist()
