@@ -588,7 +588,7 @@ QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id % 250 DESC, doc_i
 add("feed_normalise", """SELECT source AS app_name, 'app_store' AS store, CAST(doc_id % 5 + 1 AS VARCHAR) AS rating,
   '2024-05-01' AS date, trim('title ' || lang || ' ' || replace(text, chr(10), ' ')) AS review_text,
   '2.0' AS version, 'https://apps.apple.com/kr/app/id' || source AS source_url
-FROM documents WHERE doc_id % 7 <> 0""")
+FROM documents WHERE n_chars >= 100""")
 add("store_csv_normalise", """SELECT doc_id AS ingest_seq, 'my app' AS app_name, 'app_store' AS store,
   CAST(doc_id % 5 + 1 AS VARCHAR) AS rating, '2024-05-01' AS date, text AS review_text, '' AS version,
   '' AS source_url FROM documents""")

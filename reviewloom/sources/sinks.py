@@ -13,7 +13,8 @@ METRICS_SCHEMA = "section string, metric string, value string, updated_at string
 
 def upsert_metrics(existing: DataFrame, new: DataFrame) -> DataFrame:
     """New sections replace old ones whole; other sections stay."""
-    return existing.join(new.select("section").distinct(), "section", "left_anti").unionByName(new)
+    others = existing.join(new.select("section").distinct(), "section", "left_anti")
+    return others.select(*existing.columns).unionByName(new)
 
 
 def latest_metrics(history: DataFrame, version: str = "updated_at") -> DataFrame:
@@ -22,7 +23,7 @@ def latest_metrics(history: DataFrame, version: str = "updated_at") -> DataFrame
     The last version per section is a plain maximum, joined back - no section is sorted in one task.
     """
     last = history.groupBy("section").agg(F.max(version).alias(version))
-    return history.join(last, ["section", version], "left_semi")
+    return history.join(last, ["section", version], "left_semi").select(*history.columns)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
