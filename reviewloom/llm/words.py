@@ -129,3 +129,40 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def hash_column(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
+
+
+class Memo:
+    """Values by 64-bit key in sorted arrays; starts anew beyond `limit` entries."""
+
+    def __init__(self, limit: int = 1 << 21):
+        self.limit = limit
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, known); a value means something only where it is known."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.values[at], self.keys[at] == keys
+
+    def learn(self, keys: np.ndarray, values: np.ndarray) -> None:
+        if len(self.keys) > self.limit:
+            self.__init__(self.limit)
+        keys, values = np.concatenate([self.keys, keys]), np.concatenate([self.values, values])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+
+
+def totals(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of each row's values; first: index of each row's first value, and the end."""
+    sums = np.concatenate([[0], np.cumsum(values)])
+    return sums[first[1:]] - sums[first[:-1]]
+
+
+def maxima(values: np.ndarray, first: np.ndarray, empty: int = 0) -> np.ndarray:
+    """Largest of each row's values; `empty` for a row that has none."""
+    out = np.full(len(first) - 1, empty, np.int64)
+    full = first[1:] > first[:-1]
+    if full.any():
+        out[full] = np.maximum.reduceat(values, first[:-1][full])
+    return out
