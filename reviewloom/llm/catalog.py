@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import packing, token_counts, toxicity
+from reviewloom.llm import language, packing, token_counts, toxicity
 from reviewloom.llm.shared import table
 
 
@@ -29,9 +29,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op6_token_counts": op6_token_counts,
+    "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
 }
 
