@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import decontaminate, language, packing, token_counts, toxicity
+from reviewloom.llm import decontaminate, fingerprints, language, packing, token_counts, toxicity
 from reviewloom.llm.shared import table
 
 
@@ -54,10 +54,15 @@ FROM d LEFT JOIN hw ON d.doc_id = hw.doc_id LEFT JOIN hi ON d.doc_id = hi.doc_id
 """
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_trial(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op4_packing": op4_packing,
     "op6_token_counts": op6_token_counts,
+    "op7_fingerprints": op7_fingerprints,
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
 }
