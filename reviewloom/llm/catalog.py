@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import decontaminate, fingerprints, language, packing, token_counts, toxicity
+from reviewloom.llm import decontaminate, fingerprints, language, packing, token_counts, toxicity, urls
 from reviewloom.llm.shared import table
 
 
@@ -58,8 +58,14 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_trial(table(spark, sf_dir, "documents"))
 
 
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.labelled_urls(pages, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op3_urls": op3_urls,
     "op4_packing": op4_packing,
     "op6_token_counts": op6_token_counts,
     "op7_fingerprints": op7_fingerprints,
