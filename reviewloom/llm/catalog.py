@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import decontaminate, fingerprints, language, packing, token_counts, toxicity, urls
+from reviewloom.llm import decontaminate, fingerprints, language, near_duplicates, packing, token_counts, toxicity, urls
 from reviewloom.llm.shared import table
 
 
@@ -63,7 +63,12 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.labelled_urls(pages, table(spark, sf_dir, "labels")))
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op2_decontamination": op2_decontamination,
     "op3_urls": op3_urls,
     "op4_packing": op4_packing,
