@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import decontaminate, fingerprints, language, near_duplicates, packing, token_counts, toxicity, urls
+from reviewloom.llm import decontaminate, fingerprints, language, lm_scoring, near_duplicates, packing, token_counts, toxicity, urls
 from reviewloom.llm.shared import table
 
 
@@ -67,11 +67,16 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_decontamination": op2_decontamination,
     "op3_urls": op3_urls,
     "op4_packing": op4_packing,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_token_counts": op6_token_counts,
     "op7_fingerprints": op7_fingerprints,
     "op9_language": op9_language,
