@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewloom.llm import decontaminate, fingerprints, language, lm_scoring, near_duplicates, packing, token_counts, toxicity, urls
+from reviewloom.llm import decontaminate, fingerprints, language, lm_scoring, near_duplicates, packing, token_counts, toxicity, urls, warc
 from reviewloom.llm.shared import table
 
 
@@ -71,6 +71,31 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica with known damage."""
+    pages = table(spark, sf_dir, "pages")
+    return warc.audit(warc.archive(pages), warc.archive(warc.drill(pages)))
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, url, html, CASE WHEN md5(CAST(page_id AS VARCHAR)) LIKE '00%' AND length(html) > 0
+    THEN left(html, length(html) - 1) || CASE WHEN html LIKE '%~' THEN '!' ELSE '~' END ELSE html END AS hurt FROM pages),
+r AS (SELECT page_id, CAST(floor(page_id / 4096) AS BIGINT) AS file,
+    replace('WARC/1.1@WARC-Type: resource@WARC-Target-URI: ', '@', chr(13) || chr(10)) || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
+    chr(13) || chr(10) || chr(13) || chr(10) AS gap, html, hurt FROM p),
+b AS (SELECT page_id, file, head || strlen(html) || gap || html || gap AS a, head || strlen(hurt) || gap || hurt || gap AS c FROM r)
+SELECT page_id, file, row_number() OVER w AS slot, CAST(coalesce(sum(strlen(a)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+    strlen(a) AS length, sha256(a) AS sha256, sha256(c) AS found_sha256, CASE WHEN a = c THEN 'intact' ELSE 'damaged' END AS status
+FROM b WINDOW w AS (PARTITION BY file ORDER BY page_id)
+"""
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_decontamination": op2_decontamination,
@@ -79,10 +104,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lm_scoring": op5_lm_scoring,
     "op6_token_counts": op6_token_counts,
     "op7_fingerprints": op7_fingerprints,
+    "op8_warc_audit": op8_warc_audit,
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_warc_audit": OP8_SQL,
     "op2_decontamination": OP2_SQL,
 }

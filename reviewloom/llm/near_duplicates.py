@@ -20,7 +20,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.llm.shared import cut
@@ -225,14 +225,8 @@ def _cross_pairs(mixed: DataFrame) -> DataFrame:
     return outs.union(alls).groupBy("bucket", "o", "p").applyInArrow(compare, "a binary, b binary").distinct()
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest doc_id of its class), copies (rows with the same words).
-
-    A class is what links of similarity 0.8 or more connect. Null texts and texts without words are equal to each other
-    and to nothing else; texts of fewer than five words are one shingle. Repeated rows keep a row each; null ids are
-    allowed, and a class of nothing else has a negative number; an empty table gives an empty result.
-    """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, digest, class_id, copies of each row; docs: doc_id, text."""
     made = cut(signatures(docs))
     nodes = cut(made.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("registers").alias("registers")))
     members = nodes.select("digest", "copies", F.explode("bands").alias("bucket"))
@@ -251,7 +245,50 @@ def classes(docs: DataFrame) -> DataFrame:
     links = links.union(verified(more, docs, nodes))
     root = components(links)
     ids = nodes.select("digest", "doc_id", "copies").join(root, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    lone = -F.abs(F.shiftrightunsigned(F.xxhash64("root"), 1)) - 1
-    least = ids.groupBy("root").agg(F.min("doc_id").alias("least")).select("root", F.coalesce("least", lone).alias("class_id"))
+    # Where an id is repeated in different texts it may be the smallest of several classes; those get numbers of their own.
+    lone = -F.shiftrightunsigned(F.xxhash64("root"), 1) - 1
+    least = ids.groupBy("root").agg(F.min("doc_id").alias("least"))
+    shared = F.count("*").over(Window.partitionBy("least", F.when(F.col("least").isNull(), F.col("root"))))
+    least = least.select("root", F.when(F.col("least").isNull() | (shared > 1), lone).otherwise(F.col("least")).alias("class_id"))
     of = ids.join(least, "root").select("digest", "class_id", "copies")
-    return made.select("doc_id", "digest").join(of, "digest").select("doc_id", "class_id", "copies")
+    return made.select("doc_id", "digest").join(of, "digest").select("doc_id", "digest", "class_id", "copies")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, class_id (the smallest doc_id of its class), copies (rows with the same words).
+
+    A class is what links of similarity 0.8 or more connect. Null texts and texts without words are equal to each other
+    and to nothing else; texts of fewer than five words are one shingle. Repeated rows keep a row each; null ids are
+    allowed; a class of nothing else, or whose smallest id another class shares, has a negative number; an empty table
+    gives an empty result.
+    """
+    return _classes(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).select("doc_id", "class_id", "copies")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each class, with all its columns: of the rows with the smallest doc_id (null last) the first by text.
+
+    The rows that stay are told by (doc_id, text); where several rows share both, one of them stays.
+    """
+    key = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = cut(_classes(key).select("doc_id", "digest", "class_id"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")).alias("best")
+    kept = found.groupBy("class_id").agg(best).select(F.when(~F.col("best.lost"), F.col("best.id")).alias("kept_id"), F.col("best.digest").alias("kept"))
+    # Ids that stand in the table once need no look at the text; the others compare digests and drop repeated rows.
+    once = found.groupBy("doc_id").agg(F.count("*").alias("times"))
+    kept = kept.join(once, F.col("kept_id").eqNullSafe(F.col("doc_id"))).select("kept_id", "kept", "times")
+    rows = docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.kept_id")))
+    plain = rows.where("k.times = 1").select("d.*")
+    if kept.where("times > 1").isEmpty():
+        return plain
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(batch.schema.names.index("text"))
+            same = [x == y for x, y in zip(batch.column(len(names)).to_pylist(), digests(Words(text)), strict=True)]
+            yield batch.filter(pa.array(same, pa.bool_()))
+
+    twice = rows.where("k.times > 1").select("d.*", F.col("k.kept").alias("kept digest"))
+    twice = twice.mapInArrow(run, twice.schema).dropDuplicates(["doc_id", "kept digest"])
+    return plain.union(twice.drop("kept digest"))

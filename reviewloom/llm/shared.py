@@ -12,23 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written once to the folder in spark.checkpoint.dir, so that later jobs survive lost executors.
-
-    Where the session names none, a local session gets a temporary one; a cluster must name a shared folder.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where the session names none, a local one gets a temporary folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="llm-checkpoints-"))
-    return df.checkpoint()
+    return context.getCheckpointDir()
 
 
-def sure(df: DataFrame, **types: str) -> DataFrame:
-    """The named columns in these types, and no other column."""
-    return df.select(*(F.col(c).cast(t).alias(c) for c, t in types.items()))
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder, so that later jobs neither repeat the work nor need its executors."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def fold(column: Column) -> Column:
