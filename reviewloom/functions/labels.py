@@ -9,7 +9,7 @@ from reviewloom.functions import fixed_values as fv
 
 DATE_FORMATS = (
     "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "yyyy.MM.dd",
-    "yyyyMMdd",
+    "yyyyMMdd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-M-d",
 )
 
 
@@ -31,7 +31,10 @@ def _three_way(r: Column) -> Column:
 
 def weak_label_train(rating: Column) -> Column:
     """Training label: rating truncated to an integer first; a missing rating has no label."""
-    return F.when(rating.isNotNull(), _three_way(rating.cast("int")))
+    r = rating.cast("double")
+    # Cutting off decimals moves no rating over 3 or 4, and a comparison fits any size of number.
+    cut = F.when(r < fv.NEGATIVE_RATING_MAX + 1, "negative").when(r < 4, "neutral").otherwise("positive")
+    return F.when(r.isNotNull() & ~F.isnan(r), cut)
 
 
 def weak_label_serving(rating: Column) -> Column:

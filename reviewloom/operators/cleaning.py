@@ -11,6 +11,9 @@ from reviewloom.functions import labels as lb
 from reviewloom.functions import text as tx
 
 SEQ = "ingest_seq"
+# Which source of a union a row comes from: one number per union, outermost first. With SEQ it is the
+# order of rows that are not landed yet; landed rows have one unique SEQ and no SRC.
+SRC = "ingest_source"
 # Columns whose values can be long: grouped by digest, so a shuffle never carries the text.
 _LONG_TEXT = ("review_text", "clean_text", "text")
 
@@ -41,10 +44,12 @@ def keep_first(df: DataFrame, keys: list[str] = fv.DEDUPE_KEY, seq: str = SEQ) -
 
     The minimum of ``seq`` per key is a hash aggregate that collapses copies before the shuffle, so
     a text repeated in a third of all rows costs one row per task. The survivors are then fetched
-    by the unique ``seq`` - an even key - instead of ranking each group in one task.
+    by their unique place - an even key - instead of ranking each group in one task. In a union of
+    sources the place is (source, seq), as each source numbers its own rows.
     """
-    first = df.groupBy(*key_columns(keys)).agg(F.min(seq).alias(seq)).select(seq)
-    return df.join(first, seq, "left_semi")
+    place = [SRC, seq] if SRC in df.columns else [seq]
+    first = df.groupBy(*key_columns(keys)).agg(F.min(F.struct(*place)).alias("_first")).select("_first.*")
+    return df.join(first, place, "left_semi")
 
 
 def with_typed_columns(df: DataFrame) -> DataFrame:

@@ -37,13 +37,12 @@ def quality_summary(raw: DataFrame, min_len: int = fv.MIN_REVIEW_LEN) -> DataFra
         F.coalesce(F.sum(F.when(out, F.col("masked"))), F.lit(0)).alias("needs_human_review_rows"),
         F.coalesce(F.sum(F.when(out, F.col("date_fail"))), F.lit(0)).alias("date_parse_failed_rows"),
         F.percentile(F.when(out, F.col("review_len")), F.array(F.lit(0.25), F.lit(0.75)),
-                     F.col("n")).alias("q"),
-        F.collect_list(F.when(out, F.struct("review_len", "n"))).alias("hist"))
+                     F.col("n")).alias("q"))
     iqr = F.col("q")[1] - F.col("q")[0]
     low, high = F.greatest(F.lit(0.0), F.col("q")[0] - 1.5 * iqr), F.col("q")[1] + 1.5 * iqr
-    outliers = F.aggregate(
-        "hist", F.lit(0).cast("long"),
-        lambda acc, h: acc + F.when((h["review_len"] < low) | (h["review_len"] > high), h["n"]).otherwise(0))
+    fences = totals.select(F.struct(low.alias("low"), high.alias("high"))).scalar()
+    outside = (F.col("review_len") < fences["low"]) | (F.col("review_len") > fences["high"])
+    outliers = by_len.agg(F.coalesce(F.sum(F.when(out & outside, F.col("n"))), F.lit(0))).scalar()
     src = source.select(F.struct("n", "blank")).scalar()
     return totals.withColumns({"_s": src, "outlier_rows": outliers}).select(
         F.col("_s.n").alias("input_rows"),

@@ -15,7 +15,8 @@ from reviewloom.operators import issues
 from reviewloom.operators import search
 from reviewloom.operators.cleaning import SEQ
 
-RESPONSE_SCHEMA = "reply_draft string, reply_type string, needs_human_review boolean"
+# A flag is read as text: what is neither absent nor a plain false asks for review.
+RESPONSE_SCHEMA = "reply_draft string, reply_type string, needs_human_review string"
 
 # Own wording; pass any text with the same placeholders instead.
 DEFAULT_PROMPT = """Draft an answer to a public app review. It is a draft: a person checks it before use.
@@ -80,11 +81,13 @@ def rule_drafts(classified: DataFrame, policy: ReplyPolicy) -> DataFrame:
 def parse_response(raw: Column) -> Column:
     """Model answer as a struct. The whole text is tried first, then its first '{' to last '}';
     fields fall through one by one because a malformed text gives a struct of nulls."""
-    whole = F.from_json(raw, RESPONSE_SCHEMA)
-    braces = F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), RESPONSE_SCHEMA)
-    return F.struct(*[
-        F.coalesce(whole[name], braces[name]).alias(name)
-        for name in ("reply_draft", "reply_type", "needs_human_review")])
+    whole = F.from_json(F.when(F.trim(raw).startswith("{"), raw), RESPONSE_SCHEMA)
+    list_like = F.trim(raw).startswith("[")
+    braces = F.from_json(F.when(~list_like, F.regexp_extract(raw, r"(?s)\{.*\}", 0)), RESPONSE_SCHEMA)
+    field = lambda name: F.coalesce(whole[name], braces[name])
+    flag = field("needs_human_review")
+    return F.struct(field("reply_draft").alias("reply_draft"), field("reply_type").alias("reply_type"),
+                    F.when(flag.isNotNull(), ~F.lower(flag).isin("false", "")).alias("needs_human_review"))
 
 
 def merge_responses(classified: DataFrame, policy: ReplyPolicy, response: str = "response") -> DataFrame:

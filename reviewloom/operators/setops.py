@@ -7,55 +7,45 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions import fixed_values as fv
 from reviewloom.operators import cleaning as cl
-from reviewloom.operators.cleaning import SEQ
+from reviewloom.operators.cleaning import SEQ, SRC
 
 
 def to_standard_columns(df: DataFrame, columns: list[str] = fv.REVIEW_COLUMNS) -> DataFrame:
     """Standard columns in order (missing ones null), plus the ingest order."""
     cols = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]
-    return df.select(SEQ, *cols)
+    return df.select(*[c for c in (SRC, SEQ) if c in df.columns], *cols)
 
 
 def union_sources(first: DataFrame, *others: DataFrame) -> DataFrame:
-    """Rows of all frames; columns matched by name, absent ones null."""
-    out = first
-    for df in others:
-        out = out.unionByName(df, allowMissingColumns=True)
-    return out
-
-
-def merge_reviews(base: DataFrame, new: DataFrame, keys: list[str] = fv.DEDUPE_KEY) -> DataFrame:
-    """Base plus new rows; for the same key the base row, else the earlier row, stays.
+    """Rows of all frames; columns matched by name, absent ones null.
 
-    Ingest numbers are unique per source only. The first row of a key is the smallest base number,
-    or without one the smallest new number: two plain minima that aggregate before the shuffle.
+    Each frame numbers its own rows, so ``ingest_source`` keeps the frame's number (in front of those
+    of a union inside it): all rows of a frame come before those of the next.
     """
-    rows = to_standard_columns(base).withColumn("_source", F.lit(0)).unionByName(
-        to_standard_columns(new).withColumn("_source", F.lit(1)), allowMissingColumns=True)
-    return _keep_first_of_sources(rows, keys)
+    out = None
+    for i, df in enumerate((first, *others)):
+        number = F.array(F.lit(i))
+        placed = df.withColumn(SRC, F.concat(number, SRC) if SRC in df.columns else number)
+        out = placed if out is None else out.unionByName(placed, allowMissingColumns=True)
+    return out
 
 
-def _keep_first_of_sources(rows: DataFrame, keys: list[str]) -> DataFrame:
-    per_source = rows.groupBy(*cl.key_columns(keys)).agg(
-        F.min(F.when(F.col("_source") == 0, F.col(SEQ))).alias("_base"),
-        F.min(F.when(F.col("_source") == 1, F.col(SEQ))).alias("_new"))
-    first = per_source.select(
-        F.when(F.col("_base").isNotNull(), 0).otherwise(1).alias("_source"),
-        F.coalesce("_base", "_new").alias(SEQ))
-    return rows.join(first, ["_source", SEQ], "left_semi")
+def merge_reviews(base: DataFrame, new: DataFrame, keys: list[str] = fv.DEDUPE_KEY) -> DataFrame:
+    """Base plus new rows; for the same key the base row, else the earlier row, stays."""
+    return cl.keep_first(union_sources(to_standard_columns(base), to_standard_columns(new)), keys)
 
 
 def apply_new_reviews(base: DataFrame | None, new: DataFrame, mode: str) -> DataFrame:
-    """'merge' keeps what is there; 'overwrite' (or no base) takes the new rows. Cleaned afterwards."""
+    """'merge' keeps what is there; 'overwrite' (or no base) takes the new rows. Cleaned afterwards.
+
+    Base rows come before new ones in the order (``ingest_source``, ``ingest_seq``); landing the
+    result numbers it anew.
+    """
     if mode not in ("merge", "overwrite"):
         raise ValueError(f"unknown mode {mode!r}")
     if mode == "merge" and base is not None:
-        rows = merge_reviews(base, new)
-    else:
-        rows = to_standard_columns(new).withColumn("_source", F.lit(1))
-    # One order number that is unique over both sources, as cleaning expects.
-    rows = rows.withColumn(SEQ, F.col(SEQ) * 2 + F.col("_source")).drop("_source")
-    return cl.clean_reviews(rows)
+        return cl.clean_reviews(merge_reviews(base, new))
+    return cl.clean_reviews(to_standard_columns(new))
 
 
 def other_apps(df: DataFrame, own_app: str) -> DataFrame:

@@ -36,7 +36,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 RULES, POLICY, OWN, EV_OWN = ad.LATIN_RULES, ad.LATIN_POLICY, ad.DOC_OWN_APP, ad.EVENT_OWN_APP
-SEQ = cl.SEQ
+SEQ, SRC = cl.SEQ, cl.SRC
 
 
 def query(fn: Query) -> Query:
@@ -398,19 +398,36 @@ def union_sources(spark, sf):
 @query
 def merge_reviews(spark, sf):
     merged = so.merge_reviews(docs(spark, sf), _restored(spark, sf))
-    return merged.select(SEQ, "app_name", "store", "rating", F.col("_source").alias("source_no"))
+    return merged.select(SEQ, "app_name", "store", "rating", F.col(SRC)[0].alias("source_no"))
 
 
 @query
 def overwrite_apply(spark, sf):
     return so.apply_new_reviews(docs(spark, sf), _restored(spark, sf), "overwrite").select(
-        "app_name", "store", "clean_text")
+        SEQ, "app_name", "store", "clean_text")
 
 
 @query
 def merge_apply(spark, sf):
     return so.apply_new_reviews(docs(spark, sf), _restored(spark, sf), "merge").select(
-        "app_name", "store", "review_len", "has_pii_masked")
+        SEQ, F.col(SRC)[0].alias("source_no"), "app_name", "store", "review_len", "has_pii_masked")
+
+
+@query
+def collect_and_clean(spark, sf):
+    """Three landed sources whose numbers collide, cleaned as one: the first source's row of a key stays."""
+    d = docs(spark, sf)
+    frames = [d.filter(F.col("rating").isNotNull()), d.filter(F.col("store") == "en"), _restored(spark, sf)]
+    return cl.clean_reviews(rv.collect_all(frames)).select(
+        SEQ, F.col(SRC)[0].alias("source_no"), "app_name", "store", "review_len")
+
+
+@query
+def rating_labels(spark, sf):
+    """Training and serving labels of ratings far outside 1..5."""
+    scale = F.element_at(F.array(*[F.lit(x) for x in (1.0, -3.5, 0.5, 1e11, 1e300)]), (F.col(SEQ) % 5 + 1).cast("int"))
+    rated = events(spark, sf).withColumn("rating", F.col("rating") * scale)
+    return rated.select(SEQ, lb.weak_label_train(F.col("rating")).alias("train"), lb.weak_label_serving(F.col("rating")).alias("serving"))
 
 
 @query
@@ -605,6 +622,46 @@ def human_label_rows(spark, sf):
     return sm.human_labelled(rows.withColumn("sentiment_manual", manual)).select(SEQ, "sentiment_manual")
 
 
+@query
+def majority_baseline(spark, sf):
+    """The commonest training label for every test row of the exact split, scored."""
+    labelled = docs(spark, sf).withColumn("label", lb.weak_label_train(F.col("rating")))
+    split = sp.stratified_split(labelled.filter(F.col("label").isNotNull()).select(SEQ, "label"))
+    train, test = split.filter(~F.col("is_test")), split.filter("is_test")
+    return rounded(ev.macro_metrics(sm.majority_predictions(train, test), "label", "pred_label"))
+
+
+@query
+def score_selection(spark, sf):
+    """Model selection over a score table made of the sources: each is a model, its share of rated rows the score."""
+    scores = docs(spark, sf).groupBy(F.col("app_name").alias("model")).agg(F.avg(F.col("rating").isNotNull().cast("int")).alias("f1_macro"))
+    scores = scores.withColumn("model_no", F.substring("model", 4, 9).cast("int"))
+    return rounded(sm.select_model(scores, ["src0", "src1"], 0.03))
+
+
+@query
+def error_table(spark, sf):
+    """Rows whose star label is not the human one, as a model's error table."""
+    rows = docs(spark, sf).withColumn("clean_text", F.col("review_text")).join(_judged(spark, sf), SEQ)
+    return sm.misclassified(rows.withColumnRenamed("prediction", "pred_label"))
+
+
+def _assigned(spark, sf) -> tp.TopicModel:
+    """Clean documents with a given topic each, one topic of eight left empty."""
+    topic = (F.col(SEQ) % 7).cast("int")
+    return tp.TopicModel(clean_docs(spark, sf).withColumn("topic_id", topic), None, [], 8, None)
+
+
+@query
+def topic_sizes(spark, sf):
+    return rounded(tp.topic_sizes(_assigned(spark, sf)))
+
+
+@query
+def topic_shares(spark, sf):
+    return rounded(tp.topic_metrics(_assigned(spark, sf)))
+
+
 # --- models (no SQL counterpart) ------------------------------------------------------------
 
 def _trained(spark, sf) -> sm.Trained:
@@ -629,16 +686,17 @@ def model_selection(spark, sf):
 @query
 def misclassified(spark, sf):
     trained = _trained(spark, sf)
-    return sm.misclassified(sm.predict(trained.models[sm.BASELINE.name], trained.test))
+    return sm.misclassified(sm.predict(trained.models[trained.final], trained.test))
 
 
 @query
 def human_label_eval(spark, sf):
-    """Every human-labelled review, judged by the baseline model."""
+    """Every human-labelled review, judged by the selected model."""
     human = ad.table(spark, sf, "labels").select(
         F.col("doc_id").alias(SEQ),
         F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("sentiment_manual"))
-    model = _trained(spark, sf).models[sm.BASELINE.name]
+    trained = _trained(spark, sf)
+    model = trained.models[trained.final]
     return rounded(sm.evaluate_on_human_labels(model, clean_docs(spark, sf).join(human, SEQ)))
 
 
@@ -666,7 +724,7 @@ def topic_metrics(spark, sf):
 
 @query
 def play_store_normalise(spark, sf):
-    """Documents written as store records, then normalised; newest 40 per app."""
+    """Documents written as store records, then normalised."""
     d = ad.table(spark, sf, "documents")
     stamp = F.date_format(
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 250).cast("int")), "yyyy-MM-dd HH:mm:ss")
@@ -675,15 +733,14 @@ def play_store_normalise(spark, sf):
         (F.col("doc_id") % 5 + 1).alias("score"), stamp.alias("at"), F.col("text").alias("content"),
         F.when(F.col("doc_id") % 3 == 0, "1.0").alias("reviewCreatedVersion")))
     parsed = d.select(F.col("doc_id").alias(SEQ), F.from_json(line, rv.PLAY_SCHEMA).alias("r")).select(SEQ, "r.*")
-    return rv.normalize_play_records(parsed, 40).drop(SEQ)
+    return rv.normalize_play_records(parsed).drop(SEQ)
 
 
 @query
 def feed_normalise(spark, sf):
-    """Documents written as feed pages of about 50 entries, then exploded and normalised. Very short
-    texts stand for entries without a rating."""
+    """Documents written as feed pages of about 50 entries, then exploded and normalised."""
     d = ad.table(spark, sf, "documents")
-    rated = F.when(F.col("n_chars") >= 100, F.struct((F.col("doc_id") % 5 + 1).cast("string").alias("label")))
+    rated = F.struct((F.col("doc_id") % 5 + 1).cast("string").alias("label"))
 
     def lab(c: Column) -> Column:
         return F.struct(c.cast("string").alias("label"))
@@ -718,12 +775,6 @@ def manual_fill(spark, sf):
     return rv.normalize_manual(d, "my app").drop("review_text")
 
 
-@query
-def demo_reviews(spark, sf):
-    ids = ad.table(spark, sf, "documents").select(F.col("doc_id").alias(SEQ))
-    return rv.demo_reviews(ids, "own", ["rival_a", "rival_b", "rival_c"])
-
-
 def _apps(spark, sf) -> DataFrame:
     """An app registry made of the document sources: only two-digit ones have a play-store id."""
     names = ad.table(spark, sf, "documents").select("source").distinct()
@@ -786,7 +837,7 @@ def run_log_latest(spark, sf):
         "run_id", F.concat(F.lit("kind"), (F.col("run_id") % 3).cast("string")).alias("kind"),
         F.lpad(F.col("run_id").cast("string"), 12, "0").alias("timestamp"), "total", "elapsed_sec")
     errors = turns.filter(F.col("role") == "assistant").select(
-        F.col("conv_id").alias("run_id"), F.col("turn").alias("error_no"), F.substring("text", 1, 20).alias("error"))
+        F.col("conv_id").alias("run_id"), F.col("turn").alias("error_no"), F.col("text").alias("error"))
     return rounded(sk.flat_columns(sk.latest_runs(sk.run_entries(runs, errors))))
 
 

@@ -37,22 +37,22 @@ class Analysis:
 
 
 def analyse(raw: DataFrame, own_app: str, rules: IssueRules | None = None, policy: ReplyPolicy | None = None,
-            reply_rows: int | None = 30, topics: DataFrame | None = None,
-            trained: sm.Trained | None = None) -> Analysis:
+            reply_rows: int | None = None, topics: DataFrame | None = None,
+            trained: sm.Trained | None = None, stage_folder: str | None = None) -> Analysis:
     """Cleaning and classification run once, into a stage table; everything else fans out from it.
 
     ``topics`` (a topic summary) and ``trained`` (fitted sentiment models) are optional because they
     are iterative jobs; without models the F1 check of the verdict is not met.
     """
     rules, policy = rules or IssueRules(), policy or ReplyPolicy()
-    classified = materialize(iss.classify(cl.clean_reviews(raw), rules), "classified")
+    classified = materialize(iss.classify(cl.clean_reviews(raw), rules), "classified", stage_folder)
     metrics = ag.app_metrics(classified)
     complaints = iss.top_complaints(classified, rules)
     gate = qu.quality_gate(classified, own_app)
     drafts = rp.draft_batch(classified, rules, policy, reply_rows)
     scored = rp.score_replies(drafts, policy)
     f1 = (F.lit(None).cast("double") if trained is None
-          else trained.scores.agg(F.max("f1_macro")).scalar())
+          else trained.scores.filter(F.col("model") == trained.final).select("f1_macro").scalar())
     passes = rp.evaluation_summary(scored).select(F.struct("safety_pass", "quality_pass")).scalar()
     facts = classified.agg(F.count(F.lit(1)).alias("total_reviews")).withColumns({
         "data_quality_pass": qu.gate_verdict(gate).scalar(), "f1_macro": f1, "_r": passes,

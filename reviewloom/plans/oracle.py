@@ -404,9 +404,16 @@ BOTH = """both_loads AS (SELECT *, 0 AS source_no FROM reviews
 add("merge_reviews", REVIEWS, BOTH, """SELECT ingest_seq, app_name, store, rating, source_no FROM both_loads
 QUALIFY row_number() OVER (PARTITION BY app_name, store, review_text ORDER BY source_no, ingest_seq) = 1""")
 add("overwrite_apply", REVIEWS, "fresh AS (SELECT * REPLACE ('en' AS store) FROM reviews)", cleaning("fresh"),
-    "SELECT app_name, store, clean_text FROM clean")
+    "SELECT ingest_seq, app_name, store, clean_text FROM clean")
 add("merge_apply", REVIEWS, BOTH, cleaning("both_loads", order="source_no, ingest_seq"),
-    "SELECT app_name, store, review_len, has_pii_masked FROM clean")
+    "SELECT ingest_seq, source_no, app_name, store, review_len, has_pii_masked FROM clean")
+add("collect_and_clean", REVIEWS, """three AS (SELECT *, 0 AS source_no FROM reviews WHERE rating IS NOT NULL
+  UNION ALL SELECT *, 1 FROM reviews WHERE store = 'en' UNION ALL SELECT * REPLACE ('en' AS store), 2 FROM reviews)""",
+    cleaning("three", order="source_no, ingest_seq"),
+    "SELECT ingest_seq, source_no, app_name, store, review_len FROM clean")
+add("rating_labels", EVENTS, """r AS (SELECT ingest_seq, rating * [1.0, -3.5, 0.5, 1e11, 1e300][ingest_seq % 5 + 1] AS x FROM ev)""",
+    """SELECT ingest_seq, CASE WHEN trunc(x) <= 2 THEN 'negative' WHEN trunc(x) = 3 THEN 'neutral' ELSE 'positive' END AS train,
+  CASE WHEN x <= 2 THEN 'negative' WHEN x = 3 THEN 'neutral' ELSE 'positive' END AS serving FROM r""")
 add("standard_columns", """SELECT source AS app_name, CAST(0 AS BIGINT) AS dates, CAST(0 AS BIGINT) AS urls,
   count(text) AS texts FROM documents GROUP BY 1""")
 
@@ -577,18 +584,38 @@ add("macro_metrics", REVIEWS, JUDGED, MACRO, """SELECT n, round(accuracy, 6) AS
 add("human_label_rows", """SELECT doc_id AS ingest_seq, CASE quality WHEN 1 THEN 'positive' ELSE 'negative' END
   AS sentiment_manual FROM labels JOIN documents USING (doc_id) WHERE quality IN (0, 1)""")
 
+add("majority_baseline", REVIEWS, f"""lab AS (SELECT ingest_seq, {TRAIN_LABEL} AS label FROM reviews WHERE rating IS NOT NULL),
+sp AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || ingest_seq))
+    <= round(count(*) OVER (PARTITION BY label) * 0.2, 0) AS is_test FROM lab),
+top AS (SELECT label FROM sp WHERE NOT is_test GROUP BY label ORDER BY count(*) DESC, label LIMIT 1),
+judged AS (SELECT label, (SELECT label FROM top) AS prediction FROM sp WHERE is_test),
+lv AS (SELECT * FROM (VALUES ('negative'), ('neutral'), ('positive')) v(l))""", MACRO, """SELECT n, round(accuracy, 6) AS accuracy,
+  round(precision_macro, 6) AS precision_macro, round(recall_macro, 6) AS recall_macro, round(f1_macro, 6) AS f1_macro FROM mm""")
+add("score_selection", REVIEWS, """sc AS (SELECT app_name AS model, avg(CASE WHEN rating IS NULL THEN 0 ELSE 1 END) AS f,
+  CAST(substr(app_name, 4) AS INTEGER) AS model_no FROM reviews GROUP BY app_name),
+base AS (SELECT max(f) AS b FROM sc WHERE model IN ('src0', 'src1'))""", """SELECT model, round(f, 6) AS f1_macro,
+  round(b, 6) AS baseline_f1, round(f - b, 6) AS improvement, f - b >= 0.03 AS target_met
+FROM sc, base WHERE model NOT IN ('src0', 'src1') ORDER BY f DESC, model_no LIMIT 1""")
+add("error_table", REVIEWS, JUDGED, """SELECT j.ingest_seq, app_name, store, rating, review_text AS clean_text,
+  label AS true_label_star, prediction AS pred_label FROM judged j JOIN reviews USING (ingest_seq) WHERE label <> prediction""")
+TOPICS = """tp AS (SELECT CAST(ingest_seq % 7 AS INTEGER) AS topic_id FROM clean),
+ts AS (SELECT CAST(i AS INTEGER) AS topic_id, (SELECT count(*) FROM tp WHERE tp.topic_id = i) AS size,
+  (SELECT count(*) FROM tp WHERE tp.topic_id = i) / (SELECT count(*) FROM tp) AS share FROM range(8) r(i))"""
+add("topic_sizes", CLEAN, TOPICS, "SELECT topic_id, size, round(share, 6) AS share FROM ts")
+add("topic_shares", CLEAN, TOPICS, """SELECT count(*) AS topic_count, CAST(sum(size) AS BIGINT) AS n_docs,
+  round(sum(share), 6) AS coverage, round(max(share), 6) AS dominant_ratio FROM ts""")
+
 # --- sources and sinks ----------------------------------------------------------------------
 
 add("play_store_normalise", """SELECT source AS app_name, 'google_play' AS store,
   CAST(doc_id % 5 + 1 AS VARCHAR) AS rating,
   strftime(DATE '2024-01-01' + CAST(doc_id % 250 AS INTEGER), '%Y-%m-%d') AS date,
   trim(replace(text, chr(10), ' ')) AS review_text, CASE WHEN doc_id % 3 = 0 THEN '1.0' ELSE '' END AS version,
-  'https://play.google.com/store/apps/details?id=pkg.' || source AS source_url FROM documents
-QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id % 250 DESC, doc_id) <= 40""")
+  'https://play.google.com/store/apps/details?id=pkg.' || source AS source_url FROM documents""")
 add("feed_normalise", """SELECT source AS app_name, 'app_store' AS store, CAST(doc_id % 5 + 1 AS VARCHAR) AS rating,
   '2024-05-01' AS date, trim('title ' || lang || ' ' || replace(text, chr(10), ' ')) AS review_text,
   '2.0' AS version, 'https://apps.apple.com/kr/app/id' || source AS source_url
-FROM documents WHERE n_chars >= 100""")
+FROM documents""")
 add("store_csv_normalise", """SELECT doc_id AS ingest_seq, 'my app' AS app_name, 'app_store' AS store,
   CAST(doc_id % 5 + 1 AS VARCHAR) AS rating, '2024-05-01' AS date, text AS review_text, '' AS version,
   '' AS source_url FROM documents""")
@@ -597,20 +624,6 @@ add("manual_fill", """SELECT doc_id AS ingest_seq, 'my app' AS app_name,
   '' AS source_url FROM documents""")
 
 
-def pick(salt: str, n: int) -> str:
-    return (f"CAST(('0x' || substr(md5('{fv.DEMO_SEED}:{salt}:' || doc_id), 1, 8))::BIGINT % {n} AS INTEGER)")
-
-
-_cats = ", ".join(
-    f"({i}, {s(c)}, {base}, [{values_list(texts)}])" for i, (c, base, texts) in enumerate(fv.DEMO_TEMPLATES))
-add("demo_reviews", f"t AS (SELECT * FROM (VALUES {_cats}) v(i, category, base, texts))",
-    f"""p AS (SELECT doc_id, {pick("app", 4)} AS a, {pick("category", 11)} AS c, {pick("text", 3)} AS x,
-  {pick("shift", 4)} AS sh, {pick("day", 251)} AS dd, {pick("version", 5)} AS ver FROM documents)""",
-    f"""SELECT doc_id AS ingest_seq, ['own', 'rival_a', 'rival_b', 'rival_c'][a + 1] AS app_name, 'sample' AS store,
-  CAST(least(5, greatest(1, base + [-1, 0, 0, 1][sh + 1])) AS VARCHAR) AS rating,
-  strftime(DATE '2025-10-01' + dd, '%Y-%m-%d') AS date, '[' || category || '] ' || texts[x + 1] AS review_text,
-  [{values_list(fv.DEMO_VERSIONS)}][ver + 1] AS version, 'sample_generated' AS source_url
-FROM p JOIN t ON t.i = p.c""")
 APPS = f"""apps AS (SELECT DISTINCT source AS name,
   CASE WHEN length(source) > 4 THEN 'pkg.' || source ELSE '' END AS google_play,
   CAST(CAST(substr(source, 4) AS BIGINT) AS VARCHAR) AS app_store, source = {s(OWN)} AS is_our_app FROM documents)"""
@@ -641,7 +654,7 @@ add("run_log_latest", """runs AS (SELECT conv_id AS run_id, 'kind' || (conv_id %
   lpad(CAST(conv_id AS VARCHAR), 12, '0') AS timestamp, count(*) AS total, sum(length(text)) / 100 AS elapsed_sec
   FROM conversations GROUP BY conv_id)""", """SELECT kind, timestamp, run_id, total,
   round(elapsed_sec, 6) AS elapsed_sec, round(elapsed_sec / total, 6) AS avg_sec_per_reply,
-  coalesce((SELECT string_agg(substr(c.text, 1, 20), ', ' ORDER BY c.turn) FROM (SELECT * FROM conversations
+  coalesce((SELECT string_agg(c.text, ', ' ORDER BY c.turn) FROM (SELECT * FROM conversations
     WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 10) c
     WHERE c.conv_id = runs.run_id), '') AS errors
 FROM runs QUALIFY row_number() OVER (PARTITION BY kind ORDER BY timestamp DESC, run_id DESC) = 1""")

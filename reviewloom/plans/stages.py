@@ -14,23 +14,18 @@ def shared_folder(spark: SparkSession) -> str | None:
     return context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a stage of their own.
+def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """The rows as a stage of their own; ``folder`` and its lifetime are the caller's.
 
-    With a shared folder they are written there as a parquet table and read back: later scans prune
+    Without ``folder`` that of ``spark.checkpoint.dir`` is taken. With a shared folder they are written there as a parquet table and read back: later scans prune
     columns and push filters, and a lost executor costs nothing. Without one (a local session) they
-    are persisted, spilling to disk, and recomputed if lost.
+    are persisted, spilling to disk, and recomputed if lost; a cluster must name one.
     """
-    folder = shared_folder(df.sparkSession)
+    folder = folder or shared_folder(df.sparkSession)
     if folder is None:
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError("name a shared folder for stage tables, or set spark.checkpoint.dir")
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = f"{folder.rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def fewer_partitions(df: DataFrame, rows: int, rows_per_partition: int = 20_000) -> DataFrame:
-    """Merges the partitions of a small training set: every iteration of a solver schedules one task
-    per partition, which for a few rows each costs more than the work. Large sets are unchanged."""
-    wanted = max(1, -(-rows // rows_per_partition))
-    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df

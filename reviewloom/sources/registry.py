@@ -91,6 +91,6 @@ def write_manifest(records: DataFrame, path: str) -> None:
 def competitor_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(app_name, norm_text) of every *.md file in the folder except the readme."""
     docs = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    stem = F.regexp_extract(F.url_decode(F.col("_metadata.file_name")), r"^(.*)\.md$", 1)
+    stem = F.regexp_extract(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))), r"^(.*)\.md$", 1)
     return docs.select(stem.alias("app_name"), tx.normalize(F.col("value")).alias("norm_text")).filter(
         F.lower("app_name") != "readme")

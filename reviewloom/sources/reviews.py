@@ -8,13 +8,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewloom.functions import fixed_values as fv
-from reviewloom.functions.sampling import pick
-from reviewloom.operators.cleaning import SEQ
+from reviewloom.operators.cleaning import SEQ, SRC
+from reviewloom.operators.ranking import first_per_group
 from reviewloom.operators.setops import union_sources
 
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in fv.REVIEW_COLUMNS])
@@ -52,20 +51,18 @@ def read_review_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread_small(scan: DataFrame, key: str) -> DataFrame:
-    """Gives a small scan one partition per core: a file of a few megabytes is a single split, and
-    text work on it would run on one core. A scan with more splits than cores is left as it is."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
-
-
 def with_ingest_seq(df: DataFrame) -> DataFrame:
     """Numbers rows in scan order (no shuffle)."""
     return df if SEQ in df.columns else df.withColumn(SEQ, F.monotonically_increasing_id())
 
 
 def land_reviews(df: DataFrame, path: str, partition_by_app: bool = False) -> None:
-    """Write numbered reviews: from here on ``ingest_seq`` is a stored column."""
+    """Write numbered reviews: from here on ``ingest_seq`` is a stored column, unique over all sources.
+
+    A union of sources is sorted by (source, number) in ranges and numbered anew in that order.
+    """
+    if SRC in df.columns:
+        df = df.orderBy(SRC, SEQ).drop(SRC, SEQ)
     writer = with_ingest_seq(df).write.mode("overwrite")
     if partition_by_app:
         writer = writer.partitionBy("app_name")
@@ -91,12 +88,11 @@ def _text_or_empty(c: Column) -> Column:
 def _cap_per_app(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
     if n is None:
         return df
-    w = W.partitionBy("app_name").orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    return first_per_group(df, ["app_name"], list(order), n, SEQ).drop("_rn")
 
 
-def normalize_play_records(records: DataFrame, n: int | None = 300) -> DataFrame:
-    """Play-store records to reviews, the newest n per app."""
+def normalize_play_records(records: DataFrame, n: int | None = None) -> DataFrame:
+    """Play-store records to reviews: all, or the newest n per app."""
     rows = with_ingest_seq(records)
     newest = _cap_per_app(rows, n, F.col("at").desc_nulls_last(), F.col(SEQ))
     return newest.select(
@@ -107,8 +103,8 @@ def normalize_play_records(records: DataFrame, n: int | None = 300) -> DataFrame
         F.concat(F.lit(fv.PLAY_STORE_URL), _text_or_empty(F.col("app_id"))).alias("source_url"))
 
 
-def normalize_feed_pages(pages: DataFrame, country: str = "kr", n: int | None = 300) -> DataFrame:
-    """App-store feed pages to reviews: entries that carry a rating, the first n per app."""
+def normalize_feed_pages(pages: DataFrame, country: str = "kr", n: int | None = None) -> DataFrame:
+    """App-store feed pages to reviews: entries that carry a rating, all or the first n per app."""
     entries = with_ingest_seq(
         pages.select("app_id", "app_name", "page", F.posexplode("feed.entry").alias("pos", "e")))
     rated = entries.filter(F.col("e.`im:rating`").isNotNull())
@@ -160,38 +156,6 @@ def normalize_manual(df: DataFrame, default_app: str = "") -> DataFrame:
     return rows.withColumns({"app_name": filled("app_name", default_app), "store": filled("store", "sample")})
 
 
-def demo_reviews(ids: DataFrame, own_app: str, competitors: Sequence[str], seed: int = fv.DEMO_SEED,
-                 row_id: str = SEQ) -> DataFrame:
-    """One made-up review per id, a pure function of (id, seed)."""
-    apps = [own_app, *competitors]
-    i = F.col(row_id)
-
-    def choose(salt: str, n: int) -> Column:
-        return pick(i, seed, salt, n) + 1
-
-    category = choose("category", len(fv.DEMO_TEMPLATES))
-    names = F.array(*[F.lit(t[0]) for t in fv.DEMO_TEMPLATES])
-    bases = F.array(*[F.lit(t[1]) for t in fv.DEMO_TEMPLATES])
-    texts = F.array(*[F.array(*[F.lit(x) for x in t[2]]) for t in fv.DEMO_TEMPLATES])
-    shifts = F.array(*[F.lit(x) for x in (-1, 0, 0, 1)])
-    rating = F.element_at(bases, category) + F.element_at(shifts, choose("shift", 4))
-    text = F.element_at(F.element_at(texts, category), choose("text", 3))
-    day = F.date_add(F.lit(fv.DEMO_START_DATE).cast("date"),
-                     pick(i, seed, "day", fv.DEMO_DATE_SPAN_DAYS + 1))
-    return ids.select(
-        i.alias(SEQ), F.element_at(F.array(*[F.lit(a) for a in apps]), choose("app", len(apps))).alias("app_name"),
-        F.lit("sample").alias("store"),
-        F.least(F.lit(5), F.greatest(F.lit(1), rating)).cast("string").alias("rating"),
-        F.date_format(day, "yyyy-MM-dd").alias("date"),
-        F.concat(F.lit("["), F.element_at(names, category), F.lit("] "), text).alias("review_text"),
-        F.element_at(F.array(*[F.lit(v) for v in fv.DEMO_VERSIONS]), choose("version", 5)).alias("version"),
-        F.lit("sample_generated").alias("source_url"))
-
-
-def collect_all(spark: SparkSession, frames: Sequence[DataFrame], own_app: str, competitors: Sequence[str],
-                demo_rows: int = 1000) -> DataFrame:
-    """Union of all landed sources; when none holds a row, generated demo reviews instead."""
-    landed = [f for f in frames if not f.isEmpty()]
-    if not landed:
-        return demo_reviews(spark.range(demo_rows).withColumnRenamed("id", SEQ), own_app, competitors)
-    return union_sources(*landed)
+def collect_all(frames: Sequence[DataFrame]) -> DataFrame:
+    """Union of all landed sources in order (see ``union_sources``); sources without rows add none."""
+    return union_sources(*frames)

@@ -27,10 +27,12 @@ def latest_metrics(history: DataFrame, version: str = "updated_at") -> DataFrame
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Metrics table, or an empty one when it is missing or unreadable."""
+    """Metrics table, or an empty one when there is none yet; any other failure is raised."""
     try:
         return spark.read.parquet(path).select("section", "metric", "value", "updated_at")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], METRICS_SCHEMA)
 
 

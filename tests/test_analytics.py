@@ -181,9 +181,29 @@ def test_flow_end_to_end(spark, make_reviews):
              f"{texts[(i // 4) % 4]} {i}") for i in range(1200)]
     a = analyse(make_reviews(rows), "own")
     assert all(r.passed for r in a.gate.collect())
-    assert a.drafts.count() == 30
+    assert a.drafts.count() == a.classified.count() == 1200
     assert {r.section for r in a.report.collect()} == {1, 2, 3, 4, 5, 6}
     assert {r.check_name for r in a.success.collect()} >= {"overall_pass"}
     assert a.quality.first().output_rows == 1200
     assert a.gaps.count() > 0 and a.severity.count() > 1 and a.metrics.count() == 4
     a.classified.unpersist()
+
+
+def test_first_rows_of_a_hot_group_meet_in_no_single_sort(spark):
+    """Ranks are taken per (group, bucket) first, whatever k is, and give the same rows as one sort."""
+    df = spark.range(5000).select(F.col("id").alias("ingest_seq"), F.when(F.col("id") % 10 == 0, "rare").otherwise("hot").alias("g"))
+    for k in (3, 1500):
+        picked = sp.pick_per_stratum(df, ["g"], k)
+        plan = picked._jdf.queryExecution().executedPlan().toString()
+        assert "_bucket" in plan
+        keyed = sorted((r["g"], r["_key"], r["ingest_seq"]) for r in sp.with_key(df).collect())
+        want = {g: {s for x, _, s in keyed if x == g and s in [t for y, _, t in keyed if y == g][:k]} for g in ("hot", "rare")}
+        got = {g: {r["ingest_seq"] for r in picked.filter(F.col("g") == g).collect()} for g in ("hot", "rare")}
+        assert got == want
+
+
+@pytest.mark.parametrize("raw,usable", [('{"reply_draft": "hi"}', True), ('text {"reply_draft": "hi"} text', True), ('[{"reply_draft": "hi"}]', False), ('"hi"', False), ("", False)])
+def test_only_objects_are_answers(spark, raw, usable):
+    from reviewloom.operators import replies as rp
+    parsed = spark.createDataFrame([(raw,)], "r string").select(rp.parse_response(F.col("r")).alias("m")).first().m
+    assert (parsed.reply_draft == "hi") == usable

@@ -9,7 +9,8 @@ import pytest
 import __spark_entry__ as entry
 from check_results import MODELS, canon
 from reviewloom.functions.rules import IssueRules
-from reviewloom.plans import stages
+from reviewloom.plans import catalog, stages
+from reviewloom.plans.oracle import ORACLE_SQL
 from reviewloom.streaming import tag_stream
 
 SF = "/root/testdata/sf0.001"
@@ -29,11 +30,11 @@ def test_entry(spark):
 
 
 def test_every_query_without_models_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == MODELS
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(catalog.QUERIES) - set(ORACLE_SQL) == MODELS
+    assert set(ORACLE_SQL) <= set(catalog.QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - MODELS))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - MODELS))
 def test_query_equals_sql(spark, sql, name):
     df = entry.queries()[name](spark, SF)
     cur = sql.execute(entry.oracle_sql()[name])

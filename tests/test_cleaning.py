@@ -132,3 +132,10 @@ def test_merge_keeps_base(make_reviews):
     assert so.apply_new_reviews(base, new, "overwrite").count() == 2
     with pytest.raises(ValueError):
         so.apply_new_reviews(base, new, "append")
+
+
+def test_merge_order_and_repeated_merges(make_reviews):
+    base = make_reviews([("a", "s", "5", "2026-01-01", f"base text {i}") for i in range(3)]).withColumn("ingest_seq", F.col("ingest_seq") + 2**62)
+    new = make_reviews([("a", "s", "1", "2026-01-01", f"new text {i}") for i in range(3)])
+    rows = so.apply_new_reviews(so.merge_reviews(base, new), new, "merge").orderBy("ingest_source", "ingest_seq").collect()
+    assert [r.review_text for r in rows] == ["base text 0", "base text 1", "base text 2", "new text 0", "new text 1", "new text 2"]

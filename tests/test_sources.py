@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from reviewloom.operators import cleaning as cl
 from reviewloom.functions.rules import load_issue_rules, load_reply_policy
 from reviewloom.sources import registry as rg
 from reviewloom.sources import reviews as rv
@@ -64,16 +65,34 @@ def test_manual_tables(spark):
     assert {r.app_name for r in rv.normalize_manual(partly, "mine").collect()} == {"a", ""}
 
 
-def test_collect_all_falls_back_to_demo_reviews(spark, make_reviews):
-    empty = make_reviews([])
-    demo = rv.collect_all(spark, [empty], "own", ["r1", "r2", "r3"], 200)
-    assert demo.count() == 200
-    assert {r.app_name for r in demo.collect()} == {"own", "r1", "r2", "r3"}
-    assert all(1 <= int(r.rating) <= 5 and r.review_text.startswith("[") for r in demo.collect())
-    again = rv.collect_all(spark, [empty], "own", ["r1", "r2", "r3"], 200)
-    assert demo.exceptAll(again).count() == 0
-    real = make_reviews([("a", "s", "1", "d", "t")])
-    assert rv.collect_all(spark, [empty, real], "own", []).count() == 1
+def test_collect_all_keeps_the_order_of_sources(spark, make_reviews, tmp_path):
+    empty, one, two = make_reviews([]), make_reviews([("a", "s", "1", "d", "the same text")]), make_reviews([("a", "s", "2", "d", "the same text"), ("b", "s", "2", "d", "another text")])
+    assert rv.collect_all([empty, empty]).count() == 0
+    both = rv.collect_all([empty, rv.collect_all([one, two]), one])
+    assert both.select("ingest_source", "ingest_seq").distinct().count() == 4
+    clean = cl.clean_reviews(both)  # numbers collide between sources, the texts decide
+    assert sorted((r.app_name, r.rating, list(r.ingest_source)) for r in clean.collect()) == [("a", 1.0, [1, 0]), ("b", 2.0, [1, 1])]
+    rv.land_reviews(both, str(tmp_path / "landed"))
+    landed = rv.read_review_parquet(spark, str(tmp_path / "landed")).orderBy("ingest_seq").collect()
+    assert [(r.app_name, r.rating) for r in landed] == [("a", "1"), ("a", "2"), ("b", "2"), ("a", "1")]
+
+
+def test_stores_give_every_review_by_default(spark):
+    rows = [("id", "app", str(i % 5), f"2026-01-{i % 28 + 1:02d}", f"text {i}", "1") for i in range(400)]
+    assert rv.normalize_play_records(spark.createDataFrame(rows, rv.PLAY_SCHEMA)).count() == 400
+
+
+def test_file_names_with_plus_and_percent(spark, tmp_path):
+    for name in ("A+B", "50%", "read me", "README"):
+        (tmp_path / f"{name}.md").write_text("text")
+    assert {r.app_name for r in rg.competitor_documents(spark, str(tmp_path)).collect()} == {"A+B", "50%", "read me"}
+
+
+def test_only_a_missing_metrics_table_is_empty(spark, tmp_path):
+    assert sk.read_metrics(spark, str(tmp_path / "none")).count() == 0
+    spark.range(3).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(Exception, match="section"):
+        sk.read_metrics(spark, str(tmp_path / "other"))
 
 
 def test_registry_and_report(spark, make_reviews):

@@ -62,7 +62,9 @@ def test_tokens_and_ngrams(spark):
 
 @pytest.mark.parametrize("value,label_train,label_serving", [
     (1.0, "negative", "negative"), (2.9, "negative", "positive"), (3.0, "neutral", "neutral"),
-    (3.9, "neutral", "positive"), (4.0, "positive", "positive"), (None, None, "neutral")])
+    (3.9, "neutral", "positive"), (4.0, "positive", "positive"), (None, None, "neutral"),
+    (0.0, "negative", "negative"), (7.0, "positive", "positive"), (1e11, "positive", "positive"), (-1e11, "negative", "negative"),
+    (float("inf"), "positive", "positive"), (float("-inf"), "negative", "negative"), (float("nan"), None, "positive")])
 def test_weak_labels(spark, value, label_train, label_serving):
     assert run(spark, lb.weak_label_train, [value], "double") == [label_train]
     assert run(spark, lb.weak_label_serving, [value], "double") == [label_serving]
@@ -75,3 +77,8 @@ def test_coercion(spark):
     assert [d and d.isoformat() for d in days] == [
         "2026-01-31", "2026-02-01", "2026-02-03", "2026-02-04", "2026-02-05", None, None, None]
     assert run(spark, lb.percent_text, [0.41249, 1.0, None], "double") == ["41.2%", "100.0%", None]
+
+
+def test_date_formats_of_stores(spark):
+    texts = ["2026-01-02 10:11", "2026-01-02T10:11:12Z", "2026-1-2", "2026-01-02", "2026-13-40", "soon"]
+    assert [str(x) if x else None for x in run(spark, lb.to_review_date, texts)] == ["2026-01-02"] * 4 + [None, None]
