@@ -10,7 +10,8 @@ product.
 Equal texts are one node from the start. Registers are banded; a bucket of a band links its members to one of them (the
 text with most copies), and links are verified on the multisets. Buckets whose members are still in different classes
 then compare, block against block, every member outside the bucket's largest class with all members of other classes,
-so no pair of a bucket goes unseen unless its ends are in one class already, and no group is emitted as all its pairs.
+so no pair of a bucket goes unseen unless its ends are in one class already. That is done on multisets inside the
+task, and only links leave it; no group is emitted as all its pairs.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5  # a pair at 0.8 meets in some band but for 3 in a million
 REGISTERS = BANDS * ROWS
 MARGIN = 0.15  # signatures this much below the similarity (over 4 standard errors) are not verified
-BLOCK = 512
+BLOCK = 2048  # members of a bucket that one group of a comparison has, on either side
+BROADCAST_NODES = 1 << 18  # 40 bytes each; beyond that texts are joined by shuffle
 _U = np.uint64
 
 
@@ -127,9 +129,21 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
 
 
+def expanded(value: np.ndarray) -> np.ndarray:
+    """A multiset as a sorted set: the n-th copy of a value is an item of its own."""
+    value = np.sort(value)
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    at = np.arange(len(value))
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    return np.sort(mix(value + nth.astype(np.uint64) * _U(0xA0761D6478BD642F)))
+
+
 def _contents(docs: DataFrame, digests_of: DataFrame, nodes: DataFrame) -> DataFrame:
-    """digest and the sorted shingle hashes (with repeats) of the texts with these digests."""
-    wanted = nodes.join(digests_of, "digest", "left_semi").select(F.col("digest"), F.col("doc_id").alias("id"))
+    """digest and the shingle multiset (expanded, packed) of the texts with these digests."""
+    wanted = cut(nodes.join(digests_of, "digest", "left_semi").select(F.col("digest"), F.col("doc_id").alias("id")))
+    if wanted.count() <= BROADCAST_NODES:
+        wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +152,7 @@ def _contents(docs: DataFrame, digests_of: DataFrame, nodes: DataFrame) -> DataF
                 value, many = shingles(words, SHINGLE)
                 same = [i for i, (x, y) in enumerate(zip(part.column("digest").to_pylist(), digests(words), strict=True)) if x == y]
                 each = np.split(value, np.cumsum(many)[:-1])
-                yield pa.record_batch([part.column("digest").take(pa.array(same, pa.int64())), pa.array([np.sort(each[i]).tobytes() for i in same], pa.binary())], ["digest", "shingles"])
+                yield pa.record_batch([part.column("digest").take(pa.array(same, pa.int64())), pa.array([expanded(each[i]).tobytes() for i in same], pa.binary())], ["digest", "shingles"])
 
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("digest", "text")
     # Rows that repeat an id may give a digest twice.
@@ -146,12 +160,11 @@ def _contents(docs: DataFrame, digests_of: DataFrame, nodes: DataFrame) -> DataF
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sorted multisets."""
-    a, n = np.unique(x, return_counts=True)
-    b, m = np.unique(y, return_counts=True)
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    common = np.minimum(n[i], m[j]).sum()
-    return common / (len(x) + len(y) - common) if len(x) + len(y) else 1.0
+    """Weighted Jaccard similarity of two expanded multisets."""
+    both = np.concatenate([x, y])
+    both.sort()
+    common = np.count_nonzero(both[1:] == both[:-1])
+    return common / (len(both) - common) if len(both) else 1.0
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -191,45 +204,66 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("digest"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("digest"), F.col("b").alias("root")).distinct())
 
 
-def _cross_pairs(mixed: DataFrame) -> DataFrame:
-    """Likely pairs of different classes in each bucket. mixed: bucket, digest, root, registers, out, size, outs.
+def _cross_links(mixed: DataFrame) -> DataFrame:
+    """Links (a, b) that join different classes of a bucket.
 
-    `out` marks members outside the bucket's largest class. They and all members are dealt into blocks, and each pair of
-    blocks is one group of 2 x BLOCK rows or so, however large the bucket is.
+    mixed: bucket, band, digest, root, bands, registers, shingles, out, size, outs. `out` marks members outside the bucket's
+    largest class. They and all members are dealt into blocks, and each pair of blocks is one group of 2 x BLOCK rows or
+    so, however large the bucket is. A pair is looked at in the first band where it meets, its multisets are compared if
+    the signatures allow it and its classes are not linked yet in the group, and only links leave the task: fewer than
+    the group has classes.
     """
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     place = F.xxhash64("digest", F.lit("block"))
     upto = lambda n: F.sequence(F.lit(0), F.greatest(blocks(n) - 1, F.lit(0)))
     mine = F.pmod(place, blocks("outs")).cast("int")
     theirs = F.pmod(place, blocks("size")).cast("int")
-    outs = mixed.where("out").select("bucket", mine.alias("o"), F.explode(upto("size")).alias("p"), F.lit(True).alias("left"), "digest", "root", "registers", "out")
-    alls = mixed.select("bucket", F.explode(upto("outs")).alias("o"), theirs.alias("p"), F.lit(False).alias("left"), "digest", "root", "registers", "out")
+    carried = ["band", "digest", "root", "bands", "registers", "shingles", "out"]
+    outs = mixed.where("out").select("bucket", mine.alias("o"), F.explode(upto("size")).alias("p"), F.lit(True).alias("left"), *carried)
+    alls = mixed.select("bucket", F.explode(upto("outs")).alias("o"), theirs.alias("p"), F.lit(False).alias("left"), *carried)
     least = (SIMILARITY - MARGIN) * REGISTERS
 
     def compare(group: pa.Table) -> pa.Table:
-        left = group.column("left").to_numpy()
-        digest, root = np.array(group.column("digest").to_pylist(), object), np.array(group.column("root").to_pylist(), object)
-        out = group.column("out").to_numpy()
+        left, out, band = group.column("left").to_numpy(), group.column("out").to_numpy(), group.column("band")[0].as_py()
+        digest, root = group.column("digest").to_pylist(), group.column("root").to_pylist()
         sign = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        keys = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        content = [np.frombuffer(v, np.uint64) for v in group.column("shingles").to_pylist()]
+        size = np.array([len(c) for c in content])
+        top = {r: r for r in root}
+
+        def find(r: bytes) -> bytes:
+            while top[r] != r:
+                top[r] = top[top[r]]
+                r = top[r]
+            return r
+
         x, y = np.flatnonzero(left), np.flatnonzero(~left)
         a, b = [], []
         for at in range(0, len(x), 16):
             some = x[at : at + 16]
-            i, j = np.nonzero((sign[some][:, None, :] == sign[y][None]).sum(2) >= least)
-            for p, q in zip(some[i], y[j], strict=True):
-                if root[p] != root[q] and (not out[q] or digest[p] > digest[q]):
-                    a.append(max(digest[p], digest[q]))
-                    b.append(min(digest[p], digest[q]))
+            equal = sign[some][:, None, :] == sign[y][None]
+            fits = np.minimum(size[some][:, None], size[y][None]) >= SIMILARITY * np.maximum(size[some][:, None], size[y][None])
+            i, j = np.nonzero((equal.sum(2) >= least) & fits)
+            first = (keys[some[i]] == keys[y[j]]).argmax(1) == band
+            for p, q in zip(some[i[first]].tolist(), y[j[first]].tolist(), strict=True):
+                if out[q] and digest[p] <= digest[q]:
+                    continue
+                r, s = find(root[p]), find(root[q])
+                if r != s and overlap(content[p], content[q]) >= SIMILARITY:
+                    top[r] = s
+                    a.append(digest[p])
+                    b.append(digest[q])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return outs.union(alls).groupBy("bucket", "o", "p").applyInArrow(compare, "a binary, b binary").distinct()
+    return outs.union(alls).groupBy("bucket", "o", "p").applyInArrow(compare, "a binary, b binary")
 
 
 def _classes(docs: DataFrame) -> DataFrame:
     """doc_id, digest, class_id, copies of each row; docs: doc_id, text."""
     made = cut(signatures(docs))
     nodes = cut(made.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("registers").alias("registers")))
-    members = nodes.select("digest", "copies", F.explode("bands").alias("bucket"))
+    members = nodes.select("digest", "copies", F.posexplode("bands").alias("band", "bucket"))
     buckets = cut(members.groupBy("bucket").agg(F.count("*").alias("size"), F.max_by("digest", F.struct("copies", "digest")).alias("rep")).where("size > 1"))
     members = cut(members.drop("copies").join(buckets, "bucket"))
     stars = members.where("digest <> rep").select(F.greatest("digest", "rep").alias("a"), F.least("digest", "rep").alias("b")).distinct()
@@ -240,9 +274,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     split = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = (split.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("size"), F.max("n").alias("n"))
                .where("n < size").select("bucket", "largest", "size", (F.col("size") - F.col("n")).alias("outs")))
-    mixed = placed.select("bucket", "digest", "root").join(largest, "bucket").join(nodes.select("digest", "registers"), "digest").withColumn("out", F.col("root") != F.col("largest"))
-    more = _cross_pairs(mixed)
-    links = links.union(verified(more, docs, nodes))
+    mixed = cut(placed.select("bucket", "band", "digest", "root").join(largest, "bucket").withColumn("out", F.col("root") != F.col("largest")).drop("largest"))
+    contents = cut(_contents(docs, mixed.select("digest").distinct(), nodes).join(nodes.select("digest", "bands", "registers"), "digest"))
+    links = links.union(cut(_cross_links(mixed.join(contents, "digest"))))
     root = components(links)
     ids = nodes.select("digest", "doc_id", "copies").join(root, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     # Where an id is repeated in different texts it may be the smallest of several classes; those get numbers of their own.
