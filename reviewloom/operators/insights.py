@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +16,6 @@ from reviewloom.operators import search
 from reviewloom.operators import terms
 
 
-def summary_table(df: DataFrame) -> DataFrame:
-    """Marks a finished aggregate (a few rows per app) to be kept after its first use, because the
-    frames built on it read it several times. Never used on review rows."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def own_value(metrics: DataFrame, own_app: str, column: str) -> Column:
     """One figure of the own app as a scalar subquery (null when the app is missing)."""
     return metrics.filter(F.col("app_name") == own_app).select(column).scalar()
@@ -78,7 +71,6 @@ def gap_analysis(metrics: DataFrame, complaints: DataFrame, own_app: str) -> Dat
     a single 'error' row when the own app is not in the metrics.
     """
     num = "double"
-    metrics, complaints = summary_table(metrics), summary_table(complaints)
     strengths = competitor_strengths(metrics, own_app).select(
         F.lit("competitor_strength").alias("kind"), "app_name", "metric",
         F.col("value").cast(num), F.col("own_value").cast(num).alias("reference_value"))
@@ -152,33 +144,49 @@ def benchmark_summary(clean: DataFrame, rules: IssueRules,
     return out.na.fill("-", ["top_complaint_types", "top_topic_keywords"])
 
 
-def report_inputs(clean: DataFrame, rules: IssueRules, own_app: str) -> DataFrame:
-    """Everything a report needs as (section, item_no, name, value, text) rows, for the own app:
-    KPI figures, sentiment counts, top complaints, benchmark figures, evidence."""
+def report_inputs(clean: DataFrame, rules: IssueRules, own_app: str, whole: bool = True,
+                  topics: DataFrame | None = None) -> DataFrame:
+    """Everything a report needs as (section, item_no, name, value, text) rows.
+
+    KPI figures (the total of all reviews; mean rating, negative share and rank of the own app),
+    sentiment counts and evidence over all reviews, complaints of the own app, benchmark figures,
+    and topics where given. ``whole=False`` is the own app's variant: its own counts and evidence.
+    """
     own = clean.filter(F.col("app_name") == own_app)
+    told = clean if whole else own
     none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
 
     def rows(section: str, df: DataFrame, no: Column, name: Column, value: Column, text: Column) -> DataFrame:
         return df.select(F.lit(section).alias("section"), no.cast("int").alias("item_no"),
                          name.alias("name"), value.cast("double").alias("value"), text.alias("text"))
 
-    kpi = ag.kpi_row(own).select(F.posexplode(F.array(*[
-        F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value"))
-        for n in ("review_count", "avg_rating", "negative_ratio")])))
+    figures = ("review_count", "avg_rating", "negative_ratio")
+    facts = ag.kpi_row(own)
+    if whole:
+        rank = rating_rank(ag.app_metrics(clean), own_app).select("rating_rank").scalar()
+        facts = facts.withColumns({"total_reviews": clean.agg(F.count(F.lit(1))).scalar(), "rating_rank": rank})
+        figures = ("total_reviews", "avg_rating", "negative_ratio", "rating_rank")
+    kpi = facts.select(F.posexplode(F.array(*[
+        F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in figures])))
     complaints = issues.top_complaints(own, rules)
-    sentiment = ag.sentiment_distribution(own, lb.weak_label_serving(F.col("rating")))
+    sentiment = (ag.sentiment_distribution(told.filter(F.col("rating").isNotNull()), lb.weak_label_train(F.col("rating")))
+                 if whole else ag.sentiment_distribution(own, lb.weak_label_serving(F.col("rating"))))
     bench = ag.app_metrics(clean).select("app_name", F.posexplode(F.array(*[
         F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value"))
         for n in ("review_count", "avg_rating", "negative_ratio")])))
-    return (
+    listed = [] if topics is None else [rows("topics", topics, F.col("topic_id"), F.col("auto_label"), F.col("size"), none_s)]
+    out = (
         rows("kpi", kpi, F.col("pos") + 1, F.col("col.name"), F.col("col.value"), none_s)
         .unionByName(rows("sentiment", sentiment, F.lit(None), F.col("sentiment"), F.col("n"), none_s))
         .unionByName(rows("complaints", complaints, F.col("rank"), F.col("issue_type"), F.col("n"), none_s))
         .unionByName(rows("benchmark", bench, F.col("pos") + 1, F.col("col.name"), F.col("col.value"),
                           F.col("app_name")))
-        .unionByName(rows("evidence", search.evidence(own), F.col("evidence_no"), F.col("source"), none_d,
+        .unionByName(rows("evidence", search.evidence(told), F.col("evidence_no"), F.col("source"), none_d,
                           F.col("text")))
     )
+    for part in listed:
+        out = out.unionByName(part)
+    return out
 
 
 def fill(template: str, **values: Column | str) -> Column:
@@ -190,16 +198,18 @@ def fill(template: str, **values: Column | str) -> Column:
 
 
 def report_rows(clean: DataFrame, rules: IssueRules, own_app: str,
-                topics: DataFrame | None = None) -> DataFrame:
+                topics: DataFrame | None = None, whole: bool = True) -> DataFrame:
     """Rule-based report as (section, line_no, text) rows.
 
-    Every part is a bounded summary (one row, or a top-n); ``topics`` adds the label line.
+    Every part is a bounded summary (one row, or a top-n); ``topics`` adds the label line. Total,
+    sentiment and evidence are of all reviews; ``whole=False`` takes those of the own app.
     """
     fmt = fv.REPORT_FORMATS
     own = clean.filter(F.col("app_name") == own_app)
-    metrics = summary_table(ag.app_metrics(clean))
-    own_m = metrics.filter(F.col("app_name") == own_app)
-    complaints = summary_table(issues.top_complaints(own, rules))
+    told = clean if whole else own
+    metrics = ag.app_metrics(clean)
+    own_m = metrics.filter(F.col("app_name") == own_app).withColumn("_total", told.agg(F.count(F.lit(1))).scalar())
+    complaints = issues.top_complaints(own, rules)
     listed = complaints.agg(F.array_sort(F.collect_list(F.struct("rank", "issue_type", "n"))).alias("items"))
 
     def lines(section: int, df: DataFrame, line: Column, text: Column) -> DataFrame:
@@ -207,11 +217,11 @@ def report_rows(clean: DataFrame, rules: IssueRules, own_app: str,
 
     avg_text = F.coalesce(F.format_string("%.2f", F.round("avg_rating", 2)), F.lit("N/A"))
     kpi = lines(1, own_m, F.lit(1), fill(
-        fmt["summary_kpi"], total=F.col("review_count").cast("string"), app=own_app, avg=avg_text,
+        fmt["summary_kpi"], total=F.col("_total").cast("string"), app=own_app, avg=avg_text,
         neg=lb.percent_text(F.col("negative_ratio"))))
     rank = lines(1, rating_rank(metrics, own_app), F.lit(2), fill(
         fmt["summary_rank"], rank=F.col("rating_rank").cast("string")))
-    dist = ag.sentiment_distribution(own, lb.weak_label_train(F.col("rating"))).agg(
+    dist = ag.sentiment_distribution(told, lb.weak_label_train(F.col("rating"))).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "sentiment", "n"))).alias("d"))
     dist_text = F.array_join(F.transform(
         "d", lambda x: F.concat_ws(" ", x["sentiment"], x["n"].cast("string"))), ", ")
@@ -251,7 +261,7 @@ def report_rows(clean: DataFrame, rules: IssueRules, own_app: str,
         4, ahead.filter(F.size("b") == 0), F.lit(1), fill(fmt["better_none"], app=own_app)))
     better = better.unionByName(lines(4, ahead, F.lit(4), F.lit(fmt["better_note"])))
 
-    ev = summary_table(search.evidence(own))
+    ev = search.evidence(told)
     shown = lines(5, ev, F.col("evidence_no"), fill(
         fmt["evidence"], i=F.col("evidence_no").cast("string"), source=F.col("source"), text=F.col("text")))
     ev_count = ev.agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") == 0)

@@ -853,6 +853,16 @@ def report_rows(spark, sf):
     return ins.report_rows(clean_docs(spark, sf), RULES, OWN)
 
 
+@query
+def own_report_inputs(spark, sf):
+    return rounded(ins.report_inputs(clean_docs(spark, sf), RULES, OWN, whole=False))
+
+
+@query
+def own_report_rows(spark, sf):
+    return ins.report_rows(clean_docs(spark, sf), RULES, OWN, whole=False)
+
+
 @query
 def success_gate(spark, sf):
     gate = qu.gate_verdict(qu.quality_gate(events(spark, sf), EV_OWN)).scalar()

@@ -666,7 +666,7 @@ own_m AS (SELECT * FROM metrics WHERE app_name = {s(OWN)}),
 own_c AS (SELECT * FROM complaints WHERE app_name = {s(OWN)}),
 evid AS (SELECT CAST(row_number() OVER (ORDER BY ingest_seq) AS INTEGER) AS no, app_name || ' 리뷰' AS source,
   substr(clean_text, 1, 120) AS text FROM own WHERE rating <= 2 QUALIFY no <= 3)"""
-add("report_inputs", CLS, COMPLAINTS, metrics("clean"), OWN_PARTS, f"""
+add("own_report_inputs", CLS, COMPLAINTS, metrics("clean"), OWN_PARTS, f"""
 SELECT 'kpi' AS section, 1 AS item_no, 'review_count' AS name, CAST(review_count AS DOUBLE) AS value,
   CAST(NULL AS VARCHAR) AS text FROM own_m
 UNION ALL SELECT 'kpi', 2, 'avg_rating', coalesce(round(avg_rating, 2), 0), NULL FROM own_m
@@ -677,6 +677,19 @@ UNION ALL SELECT 'benchmark', 1, 'review_count', review_count, app_name FROM met
 UNION ALL SELECT 'benchmark', 2, 'avg_rating', round(avg_rating, 6), app_name FROM metrics
 UNION ALL SELECT 'benchmark', 3, 'negative_ratio', round(negative_ratio, 6), app_name FROM metrics
 UNION ALL SELECT 'evidence', no, source, NULL, text FROM evid""")
+ALL_PARTS = OWN_PARTS.replace("FROM own WHERE", "FROM clean WHERE")
+add("report_inputs", CLS, COMPLAINTS, metrics("clean"), RANKED, ALL_PARTS, f"""
+SELECT 'kpi' AS section, 1 AS item_no, 'total_reviews' AS name, CAST((SELECT count(*) FROM clean) AS DOUBLE) AS value,
+  CAST(NULL AS VARCHAR) AS text FROM own_m
+UNION ALL SELECT 'kpi', 2, 'avg_rating', coalesce(round(avg_rating, 2), 0), NULL FROM own_m
+UNION ALL SELECT 'kpi', 3, 'negative_ratio', round(negative_ratio, 6), NULL FROM own_m
+UNION ALL SELECT 'kpi', 4, 'rating_rank', rating_rank, NULL FROM ranked WHERE app_name = {s(OWN)}
+UNION ALL SELECT 'sentiment', NULL, {TRAIN_LABEL}, count(*), NULL FROM clean WHERE rating IS NOT NULL GROUP BY 3
+UNION ALL SELECT 'complaints', rank, issue_type, n, NULL FROM own_c
+UNION ALL SELECT 'benchmark', 1, 'review_count', review_count, app_name FROM metrics
+UNION ALL SELECT 'benchmark', 2, 'avg_rating', round(avg_rating, 6), app_name FROM metrics
+UNION ALL SELECT 'benchmark', 3, 'negative_ratio', round(negative_ratio, 6), app_name FROM metrics
+UNION ALL SELECT 'evidence', no, source, NULL, text FROM evid""")
 _F = fv.REPORT_FORMATS
 
 
@@ -689,11 +702,13 @@ def fmt(key: str, **cols: str) -> str:
 
 _two = "printf('%.2f', round(avg_rating, 2))"
 _limits = " ".join(f"UNION ALL SELECT 6, {i}, {s(_F[f'limit_{i}'])}" for i in range(1, 5))
-add("report_rows", CLS, COMPLAINTS, metrics("clean"), RANKED, OWN_PARTS, f"""
+def report_sql(name: str, told: str, parts: str, total: str) -> None:
+    """told: the rows that total, sentiment and evidence are about."""
+    add(name, CLS, COMPLAINTS, metrics("clean"), RANKED, parts, f"""
 bet AS (SELECT *, CAST(row_number() OVER (ORDER BY avg_rating DESC, app_name) AS INTEGER) AS no FROM metrics
   WHERE app_name <> {s(OWN)} AND avg_rating > (SELECT avg_rating FROM own_m) QUALIFY no <= 3),
-dist AS (SELECT {TRAIN_LABEL} AS l, count(*) AS n FROM own WHERE rating IS NOT NULL GROUP BY 1)""", f"""
-SELECT 1 AS section, 1 AS line_no, {fmt("summary_kpi", total="CAST(review_count AS VARCHAR)", app=s(OWN), avg=f"coalesce({_two}, 'N/A')", neg=pct("negative_ratio"))} AS text FROM own_m
+dist AS (SELECT {TRAIN_LABEL} AS l, count(*) AS n FROM {told} WHERE rating IS NOT NULL GROUP BY 1)""", f"""
+SELECT 1 AS section, 1 AS line_no, {fmt("summary_kpi", total=total, app=s(OWN), avg=f"coalesce({_two}, 'N/A')", neg=pct("negative_ratio"))} AS text FROM own_m
 UNION ALL SELECT 1, 2, {fmt("summary_rank", rank="CAST(rating_rank AS VARCHAR)")} FROM ranked WHERE app_name = {s(OWN)}
 UNION ALL SELECT 1, 3, {fmt("summary_sentiment", dist="coalesce((SELECT string_agg(l || ' ' || n, ', ' ORDER BY n DESC, l) FROM dist), '')")}
 UNION ALL SELECT 1, 4, {fmt("summary_complaints", complaints=f"coalesce((SELECT string_agg(issue_type || '(' || n || ')', ', ' ORDER BY rank) FROM own_c), {s(fv.COMPLAINTS_NONE)})")}
@@ -707,6 +722,10 @@ UNION ALL SELECT 4, 4, {s(_F["better_note"])}
 UNION ALL SELECT 5, no, {fmt("evidence", i="CAST(no AS VARCHAR)", source="source", text="text")} FROM evid
 UNION ALL SELECT 5, 1, {s(_F["evidence_none"])} WHERE NOT EXISTS (SELECT 1 FROM evid)
 {_limits}""")
+
+
+report_sql("report_rows", "clean", ALL_PARTS, "CAST((SELECT count(*) FROM clean) AS VARCHAR)")
+report_sql("own_report_rows", "own", OWN_PARTS, "CAST(review_count AS VARCHAR)")
 add("success_gate", REVIEWS, JUDGED, MACRO, SCORED, f"""fact AS (SELECT
   (SELECT passed FROM ({ORACLE_SQL["quality_gate_verdict"]})) AS gate, (SELECT count(*) FROM reviews) AS total,
   (SELECT f1_macro FROM mm) AS f1, (SELECT count(*) FILTER (NOT is_safe) = 0 FROM scored) AS safe,
