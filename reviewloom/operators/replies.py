@@ -57,8 +57,11 @@ def with_safety(df: DataFrame, policy: ReplyPolicy, reply: str = "reply_draft",
     return flagged.withColumn(out, policy.safety_flags(text, F.col("_reply_norm"))).drop("_reply_norm")
 
 
-def rule_drafts(classified: DataFrame, policy: ReplyPolicy) -> DataFrame:
-    """Template draft per review with safety flags, review need and the reason text."""
+def rule_drafts(classified: DataFrame, policy: ReplyPolicy, guidance: str = "") -> DataFrame:
+    """Template draft per review with safety flags, review need and the reason text.
+
+    Where an operator's ``guidance`` is set, the reason says that only a model would follow it.
+    """
     chosen = choose_reply(classified, policy)
     drafted = with_safety(
         chosen.withColumn("reply_draft", policy.draft(F.col("reply_type"), F.col("app_name"))), policy)
@@ -74,7 +77,8 @@ def rule_drafts(classified: DataFrame, policy: ReplyPolicy) -> DataFrame:
     return drafted.withColumns({
         "needs_human_review": forced | by_type | unsafe,
         "reason": F.concat(F.lit(fv.RULE_PREFIX),
-                           F.when(F.length(text) > 0, text).otherwise(fv.REASON_RULE_NONE)),
+                           F.when(F.length(text) > 0, text).otherwise(fv.REASON_RULE_NONE),
+                           F.lit(fv.REASON_GUIDANCE if guidance.strip() else "")),
     })
 
 
@@ -90,7 +94,8 @@ def parse_response(raw: Column) -> Column:
                     F.when(flag.isNotNull(), ~F.lower(flag).isin("false", "")).alias("needs_human_review"))
 
 
-def merge_responses(classified: DataFrame, policy: ReplyPolicy, response: str = "response") -> DataFrame:
+def merge_responses(classified: DataFrame, policy: ReplyPolicy, response: str = "response",
+                    guidance: str = "") -> DataFrame:
     """Drafts from a table of raw model answers; an unusable answer falls back to the rule draft.
 
     Rows without an answer (null) get the plain rule draft; a blank or malformed answer gets it with
@@ -111,7 +116,7 @@ def merge_responses(classified: DataFrame, policy: ReplyPolicy, response: str =
     ]), " / ")
     model_reason = F.concat(
         F.lit(fv.MODEL_PREFIX), F.when(F.length(parts) > 0, parts).otherwise(fv.REASON_MODEL_NONE))
-    rule_reason = F.when(F.col(response).isNull(), F.col("reason")).otherwise(
+    rule_reason = F.when(F.col(response).isNull(), F.concat("reason", F.lit(fv.REASON_GUIDANCE if guidance.strip() else ""))).otherwise(
         F.concat("reason", F.lit(fv.REASON_MODEL_ERROR + "reply_draft")))
     by_type = policy.type_needs_review(F.col("reply_type"))
     others = [c for c in ruled.columns
@@ -168,21 +173,34 @@ def draft_batch_stats(drafts: DataFrame) -> DataFrame:
         F.count_if("needs_human_review").alias("needs_review"))
 
 
-def lookup_drafts(reviews: DataFrame, drafts: DataFrame, rules: IssueRules, salts: int = 16) -> DataFrame:
+def _salts(reviews: DataFrame, digest: Column) -> Column:
+    """Number of salts per text digest, one unless its measured share of the reviews is large.
+
+    Only digests with a thousandth of all rows or more are listed, so the map has a thousand entries
+    at most.
+    """
+    total = reviews.agg(F.count(F.lit(1))).scalar()
+    counts = reviews.select(digest.alias("_h")).filter("_h IS NOT NULL").groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
+    hot = counts.filter((F.col("n") * 1000 >= total) & (F.col("n") > 1000))
+    listed = hot.agg(F.map_from_entries(F.collect_list(F.struct("_h", F.ceil(F.col("n") * 1000 / total).cast("int"))))).scalar()
+    return F.coalesce(F.try_element_at(listed, F.col("_h")), F.lit(1))
+
+
+def lookup_drafts(reviews: DataFrame, drafts: DataFrame, rules: IssueRules) -> DataFrame:
     """Severity and issue types of each review: from an earlier draft of the same text (the first
     one), else classified now.
 
-    Copies of one text may be a large share of all reviews, so the text digest is salted on the
-    review side and the drafts - one row per text after the minimum - are repeated per salt.
+    Copies of one text may be a large share of all reviews: such digests are salted on the review
+    side, by their measured counts, and their drafts - one row per text after the minimum - repeated.
     """
     first = drafts.groupBy(F.sha2("review_text", 256).alias("_h")).agg(
         F.min_by(F.struct(F.array_join("issue_types", ", ").alias("t"), F.col("severity").alias("s")),
                  F.col(SEQ)).alias("_d"))
-    first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    tagged = issues.classify(reviews, rules).withColumns({
-        "_h": F.sha2("clean_text", 256),
-        "_salt": F.pmod(F.col(SEQ), F.lit(salts)).cast("int"),
-    })
+    digest = F.sha2("clean_text", 256)
+    salts = _salts(reviews, digest)
+    first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    tagged = issues.classify(reviews, rules).withColumn("_h", digest).withColumn(
+        "_salt", F.pmod(F.xxhash64(SEQ), salts).cast("int"))
     joined = tagged.join(first, ["_h", "_salt"], "left")
     return joined.select(
         *[F.col(c) for c in reviews.columns],

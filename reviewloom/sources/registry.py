@@ -53,16 +53,23 @@ def collection_report(requested: DataFrame, apps: DataFrame, reviews: DataFrame,
     return filled.unionByName(unknown)
 
 
-def manifest_records(reviews: DataFrame, collected_at: str) -> DataFrame:
-    """One manifest record per (app, store) that has reviews."""
+def manifest_records(reviews: DataFrame, collected_at: str, manual_files: dict[str, str] | None = None) -> DataFrame:
+    """One manifest record per (app, store) that has reviews.
+
+    manual_files: the file by app where the app-store reviews were brought in by hand.
+    """
     loads = reviews.groupBy("app_name", "store").agg(
         F.count(F.lit(1)).alias("n"), F.min("source_url").alias("url"))
     method = F.when(F.col("store") == "google_play", "google_play_scraper").when(
-        F.col("store") == "app_store", "manual_download").otherwise("sample_generated")
+        F.col("store") == "app_store", F.when(F.col("app_name").isin(list(manual_files or {})), "app_store_manual_csv")
+        .otherwise("manual_download")).otherwise("sample_generated")
+    file = F.lit(None).cast("string")
+    for app, path in (manual_files or {}).items():
+        file = F.when((F.col("app_name") == app) & (F.col("store") == "app_store"), path).otherwise(file)
     return loads.select(
         F.concat_ws(" ", "app_name", "store").alias("source_name"),
         F.when(method == "sample_generated", "sample").otherwise("review").alias("source_type"),
-        "app_name", F.coalesce("url", F.lit("")).alias("url_or_file"), method.alias("collection_method"),
+        "app_name", F.coalesce(file, "url", F.lit("")).alias("url_or_file"), method.alias("collection_method"),
         F.lit(collected_at).alias("collected_at"),
         F.concat(F.col("n").cast("string"), F.lit(" reviews")).alias("terms_note"),
         F.lit("collected").alias("status"))

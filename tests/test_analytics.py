@@ -207,3 +207,25 @@ def test_only_objects_are_answers(spark, raw, usable):
     from reviewloom.operators import replies as rp
     parsed = spark.createDataFrame([(raw,)], "r string").select(rp.parse_response(F.col("r")).alias("m")).first().m
     assert (parsed.reply_draft == "hi") == usable
+
+
+def test_guidance_note_and_flags_of_answers(make_reviews):
+    from reviewloom.functions.rules import ReplyPolicy
+    from reviewloom.operators import issues as iss
+    from reviewloom.operators import replies as rp
+    classified = iss.classify(cl.clean_reviews(make_reviews([("a", "s", "5", "2026-01-01", f"정말 편리하고 좋아요 {i}") for i in range(4)])), RULES)
+    plain = rp.rule_drafts(classified, ReplyPolicy(), "be brief").first().reason
+    assert plain.endswith(" | 추가 지침은 LLM 사용 시에만 반영(현재 fallback)") and "지침" not in rp.rule_drafts(classified, ReplyPolicy()).first().reason
+    answers = F.element_at(F.array(F.lit('{"reply_draft": "ok", "needs_human_review": "yes"}'), F.lit('{"reply_draft": "ok", "needs_human_review": false}'),
+                                   F.lit('{"reply_draft": "ok", "needs_human_review": true}'), F.lit(None)), (F.col("ingest_seq") + 1).cast("int"))
+    got = {r.ingest_seq: r for r in rp.merge_responses(classified.withColumn("response", answers), ReplyPolicy(), guidance="x").collect()}
+    assert [got[i].needs_human_review for i in range(3)] == [True, False, True] and "지침" in got[3].reason and "지침" not in got[0].reason
+
+
+def test_hot_texts_are_salted_by_their_counts(spark, make_reviews):
+    from reviewloom.operators import replies as rp
+    texts = ["같은 글입니다 로그인 오류"] * 3000 + [f"다른 글 {i} 번입니다" for i in range(1500)]
+    reviews = make_reviews([("a", "s", "1", "2026-01-01", t) for t in texts]).withColumn("clean_text", F.col("review_text"))
+    drafts = reviews.filter("ingest_seq % 1000 = 0").withColumns({"issue_types": F.array(F.lit("x")), "severity": F.lit("low")})
+    got = rp.lookup_drafts(reviews, drafts, RULES).groupBy("from_draft").count().collect()
+    assert {r.from_draft: r["count"] for r in got} == {True: 3002, False: 1498}

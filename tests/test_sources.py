@@ -166,3 +166,9 @@ def test_dictionary_files(tmp_path):
         "contact_guidance: {default: d, security: s}\n", encoding="utf-8")
     policy = load_reply_policy(str(tmp_path / "p.yaml"))
     assert policy.reviewed_types == ("security_sensitive",) and policy.force_keywords == ("stolen",)
+
+
+def test_manifest_names_manual_files(make_reviews):
+    rows = make_reviews([("a", "app_store", "1", "d", "t"), ("a", "google_play", "1", "d", "t"), ("b", "app_store", "1", "d", "t")])
+    got = {(r.app_name, r.collection_method, r.url_or_file) for r in rg.validated_manifest(rg.manifest_records(rows, "now", {"a": "a.csv"})).collect()}
+    assert got == {("a", "app_store_manual_csv", "a.csv"), ("a", "google_play_scraper", "url"), ("b", "manual_download", "url")}
