@@ -189,6 +189,41 @@ def report_inputs(clean: DataFrame, rules: IssueRules, own_app: str, whole: bool
     return out
 
 
+# Own wording; pass any text with the same placeholders instead.
+REPORT_PROMPT = """Write a report on app reviews for the service team. Use only the figures and quotes below.
+Figures: {kpi}
+Sentiment: {sentiment}
+Complaints: {complaints}
+Topics: {topics}
+Apps compared: {benchmark}
+Quotes: {evidence}
+"""
+REPORT_BLOCKS = ("kpi", "sentiment", "complaints", "topics", "benchmark", "evidence")
+
+
+def json_blocks(inputs: DataFrame) -> DataFrame:
+    """(section, block): the rows of each section of ``report_inputs`` as a JSON list, empty ones too.
+
+    Sections are bounded summaries; numbers have six decimals, so the text is the same everywhere.
+    """
+    item = F.struct(
+        F.coalesce("item_no", F.lit(0)).alias("no"), F.coalesce("name", F.lit("")).alias("name"),
+        F.coalesce(F.col("value").cast("decimal(30,6)").cast("string"), F.lit("")).alias("value"),
+        F.coalesce("text", F.lit("")).alias("text"))
+    made = inputs.groupBy("section").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("block"))
+    names = inputs.sparkSession.createDataFrame([(b,) for b in REPORT_BLOCKS], "section string")
+    return names.join(made, "section", "left").select("section", F.coalesce("block", F.lit("[]")).alias("block"))
+
+
+def report_prompt(inputs: DataFrame, template: str = REPORT_PROMPT) -> DataFrame:
+    """One row: the prompt text for a report, its placeholders filled with the JSON blocks."""
+    blocks = json_blocks(inputs).agg(F.map_from_entries(F.collect_list(F.struct("section", "block"))).alias("b"))
+    prompt = F.lit(template)
+    for name in REPORT_BLOCKS:  # quotes last: a placeholder inside them stays as written
+        prompt = F.replace(prompt, F.lit("{" + name + "}"), F.element_at("b", name))
+    return blocks.select(prompt.alias("prompt"))
+
+
 def fill(template: str, **values: Column | str) -> Column:
     out = F.lit(template)
     for name, value in values.items():

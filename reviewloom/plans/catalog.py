@@ -853,6 +853,18 @@ def report_rows(spark, sf):
     return ins.report_rows(clean_docs(spark, sf), RULES, OWN)
 
 
+@query
+def report_blocks(spark, sf):
+    return ins.json_blocks(ins.report_inputs(clean_docs(spark, sf), RULES, OWN))
+
+
+@query
+def report_prompt(spark, sf):
+    """The prompt over the whole corpus, with two sections in short form."""
+    inputs = ins.report_inputs(clean_docs(spark, sf), RULES, OWN)
+    return ins.report_prompt(inputs, "{kpi} | {sentiment} | {topics} | {evidence}")
+
+
 @query
 def own_report_inputs(spark, sf):
     return rounded(ins.report_inputs(clean_docs(spark, sf), RULES, OWN, whole=False))

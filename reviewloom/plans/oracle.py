@@ -690,6 +690,15 @@ UNION ALL SELECT 'benchmark', 1, 'review_count', review_count, app_name FROM met
 UNION ALL SELECT 'benchmark', 2, 'avg_rating', round(avg_rating, 6), app_name FROM metrics
 UNION ALL SELECT 'benchmark', 3, 'negative_ratio', round(negative_ratio, 6), app_name FROM metrics
 UNION ALL SELECT 'evidence', no, source, NULL, text FROM evid""")
+BLOCKS = f"""ri AS ({ORACLE_SQL["report_inputs"]}),
+it AS (SELECT section, coalesce(item_no, 0) AS no, coalesce(name, '') AS name,
+  coalesce(CAST(CAST(value AS DECIMAL(30, 6)) AS VARCHAR), '') AS v, coalesce(text, '') AS t FROM ri),
+bl AS (SELECT x.s AS section, coalesce(CAST((SELECT to_json(list({{'no': no, 'name': name, 'value': v, 'text': t}}
+    ORDER BY no, name, v, t)) FROM it WHERE it.section = x.s) AS VARCHAR), '[]') AS block
+  FROM (VALUES ('kpi'), ('sentiment'), ('complaints'), ('topics'), ('benchmark'), ('evidence')) x(s))"""
+add("report_blocks", BLOCKS, "SELECT section, block FROM bl")
+add("report_prompt", BLOCKS, " || ' | ' || ".join(["SELECT (SELECT block FROM bl WHERE section = 'kpi')"] + [
+    f"(SELECT block FROM bl WHERE section = {s(name)})" for name in ("sentiment", "topics", "evidence")]) + " AS prompt")
 _F = fv.REPORT_FORMATS
 
 
