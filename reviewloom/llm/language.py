@@ -27,6 +27,7 @@ BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
 SAMPLE = 800  # labelled documents, about, of each language
 EPOCHS, RATE = 6, 2.0
 REJECTED, HIGHEST = 0.001, 0.5  # share of right answers below the threshold; it is never above HIGHEST
+STEP_BYTES = 1 << 20  # text at once; the features of its different words take some sixty times as much
 _SHIFT = np.uint32(32 - 15)
 
 
@@ -143,7 +144,7 @@ def train(docs: DataFrame, fold: int = 5, sample: int = SAMPLE) -> Model:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=STEP_BYTES):
                 words = Words(part.column("text"))
                 bucket, many = word_features(words, np.arange(len(words.start)))
                 cuts = np.concatenate([[0], np.cumsum(many)])[words.first]
@@ -174,7 +175,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         model = pickle.loads(shared.value)
         names = np.array([*model.langs, "und"], object)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=STEP_BYTES):
                 known = has_letter(part.column("text")) & bool(model.langs)
                 lang, score = np.full(part.num_rows, len(model.langs)), np.zeros(part.num_rows)
                 if model.langs:

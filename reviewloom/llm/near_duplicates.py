@@ -100,7 +100,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch, limit=2 << 20):
                 words = Words(part.column("text"))
                 made = bag_minhash(*multisets(words), part.num_rows)
                 key = np.tile(np.arange(BANDS, dtype=np.uint64), (part.num_rows, 1))

@@ -20,7 +20,7 @@ from reviewloom.llm.words import span_hashes, utf8
 
 #: White space outside ASCII, as Unicode defines it (fixed values).
 WIDE_SPACE = "[\u0085   -     　]"
-MAX_ENTRIES, MAX_IDS = 1 << 21, 1 << 24  # the cache of a worker starts anew beyond these
+MAX_ENTRIES, MAX_IDS = 1 << 20, 1 << 22  # the cache of a worker starts anew beyond these
 JOINED = 1 << 11  # characters of missing pieces encoded as one text
 _LENGTH_BITS = 24
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 18  # bytes hashed at once
-BATCH_BYTES = 8 << 20  # text bytes that one step of a task works on
+BATCH_BYTES = 4 << 20  # text bytes that one step of a task works on
 _POWER = 0x9E3779B97F4A7C15 | 1
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -134,7 +134,7 @@ def hash_column(values: np.ndarray) -> pa.Array:
 class Memo:
     """Values by 64-bit key in sorted arrays; starts anew beyond `limit` entries."""
 
-    def __init__(self, limit: int = 1 << 21):
+    def __init__(self, limit: int = 1 << 20):
         self.limit = limit
         self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
