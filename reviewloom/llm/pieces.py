@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from reviewloom.llm.words import span_hashes, utf8
+from reviewloom.llm.words import kept, span_hashes, utf8
 
 #: White space outside ASCII, as Unicode defines it (fixed values).
 WIDE_SPACE = "[\u0085   -     　]"
@@ -182,12 +182,6 @@ class Pieces:
         return flat, offsets
 
 
-_OPEN: dict = {}
-
-
 def pieces(path: str, table: tuple[np.ndarray, np.ndarray] | None = None, table_id: int = 0) -> Pieces:
     """The worker's Pieces of this vocabulary, kept between tasks."""
-    if (path, table_id) not in _OPEN:
-        _OPEN.clear()
-        _OPEN[path, table_id] = Pieces(path, table)
-    return _OPEN[path, table_id]
+    return kept(("pieces", path, table_id), lambda: Pieces(path, table))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.llm.shared import cut, remainder
-from reviewloom.llm.words import Memo, Words, chain, hash_column, maxima, slices, totals
+from reviewloom.llm.words import Memo, Words, chain, hash_column, kept, maxima, slices, totals
 
 SAMPLE = {1: 2500, 0: 5000}  # labelled documents, about, that the model is fitted on, by label
 SUPPORT, RATIO = 8, 8.0  # a toxic word: so many different words before it, and so many times its share in ordinary text
@@ -106,15 +106,8 @@ class Model:
                 best, self.threshold, self.weights = loss, threshold, w
 
 
-_OPEN: dict = {}
-
-
 def _distance(ordinary: bytes, toxic: bytes) -> Distance:
-    key = (ordinary, toxic)
-    if key not in _OPEN:
-        _OPEN.clear()
-        _OPEN[key] = Distance(ordinary, toxic)
-    return _OPEN[key]
+    return kept(("distance", ordinary, toxic), lambda: Distance(ordinary, toxic))
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: dict[int, int] = SAMPLE) -> Model:

@@ -6,14 +6,15 @@ modulo 2^64, taken from prefix sums, so a whole batch is hashed with a few array
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 18  # bytes hashed at once
-BATCH_BYTES = 4 << 20  # text bytes that one step of a task works on
+BATCH_BYTES = 2 << 20  # text bytes that one step of a task works on
 _POWER = 0x9E3779B97F4A7C15 | 1
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -21,6 +22,11 @@ _VALUES = np.random.RandomState(20240229).randint(1, 2**63 - 1, 256).astype(np.u
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _U = np.uint64
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim.restype = ctypes.c_int
+except (OSError, AttributeError):  # another C library: its allocator decides
+    _LIBC = None
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -54,6 +60,26 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = BATCH_BYTES)
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
+    release()
+
+
+def release() -> None:
+    """Gives memory that is free in this worker back to the system, as workers live as long as their executor."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What a worker keeps between tasks: one thing at a time, made anew when another operator has run in between."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
