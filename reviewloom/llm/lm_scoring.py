@@ -14,6 +14,8 @@ has exactly the part of the automaton that its texts can reach. Keys travel sort
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -21,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.llm.shared import cut, remainder
-from reviewloom.llm.words import Words, chain
+from reviewloom.llm.words import Words, chain, slices
 
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 8 << 20  # a bucket has as many shards to talk to as there are buckets: take more on a large corpus
 K = 200.0  # weight of the root's distribution in a context's
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 WORD, PAIR = 0, 1
@@ -49,9 +51,28 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(8, -1).T).view("<u8").reshape(-1).astype(np.int64)
 
 
-def steps(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pack_texts(docs: DataFrame) -> DataFrame:
+    """The documents with their texts compressed one by one: they are dealt twice, and this halves what travels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for part in slices(batch):
+                made = pa.array([press.compress(t.encode()) for t in part.column("text").to_pylist()], pa.binary())
+                yield pa.record_batch([made if n == "text" else part.column(n) for n in part.schema.names], part.schema.names)
+
+    schema = ", ".join(f"{f.name} {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, schema)
+
+
+def unpack_texts(packed: pa.ChunkedArray) -> pa.Array:
+    press = zstandard.ZstdDecompressor()
+    return pa.array([press.decompress(x).decode() for x in packed.to_pylist()], pa.large_string())
+
+
+def steps(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word read, state it is read in, first) of every step of the texts: their words and the end of each."""
-    words = Words(pa.chunked_array(texts.chunks, texts.type).combine_chunks() if texts.num_chunks != 1 else texts.chunk(0))
+    words = Words(texts)
     first = words.first + np.arange(len(words.first))
     read = np.empty(first[-1], np.uint64)
     read[first[1:] - 1] = _END
@@ -64,10 +85,11 @@ def steps(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return read, state, first
 
 
-def shard_bounds(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's range of the sorted keys begins, and the end."""
-    edges = [(i << 64) // shards for i in range(1, shards)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(np.int64)
+def shard_ranges(keys: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
+    """(shard, begin, end) of each shard that has some of the sorted keys; shards are equal ranges of the upper 32 bits."""
+    shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    begin = np.flatnonzero(np.diff(shard, prepend=-1))
+    return list(zip(shard[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True))
 
 
 def _keys(read: np.ndarray, state: np.ndarray, kind: int) -> np.ndarray:
@@ -78,14 +100,13 @@ def count(docs: DataFrame, shards: int) -> DataFrame:
     """(bucket, shard, kind, keys, counts): the keys that each bucket meets, with its training counts."""
 
     def run(group: pa.Table) -> pa.Table:
-        read, state, first = steps(group.column("text"))
+        read, state, first = steps(unpack_texts(group.column("text")))
         train = np.repeat(group.column("train").to_numpy(), np.diff(first))
         rows = []
         for kind in (WORD, PAIR):
             keys, which = np.unique(_keys(read, state, kind), return_inverse=True)
             counts = np.bincount(which[train], minlength=len(keys))
-            bounds = shard_bounds(keys, shards)
-            rows += [(i, kind, pack_keys(keys[a:b]), pack_counts(counts[a:b])) for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
+            rows += [(i, kind, pack_keys(keys[a:b]), pack_counts(counts[a:b])) for i, a, b in shard_ranges(keys, shards)]
         shard, kind, keys, counts = zip(*rows, strict=True)
         return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()] * len(rows), pa.int64()), "shard": pa.array(shard, pa.int32()),
                          "kind": pa.array(kind, pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
@@ -139,13 +160,13 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, k: float = K, bucket
                        (remainder(F.col("doc_id"), modulus) != held).alias("train"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(max(1, -(-size // bucket_bytes)))
-    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
+    dealt = pack_texts(docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))))
     totals = cut(total(count(dealt, parts)))
     stats = totals.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
     n, v = stats["n"], stats["v"]
 
     def run(group: pa.Table, answers: pa.Table) -> pa.Table:
-        read, state, first = steps(group.column("text"))
+        read, state, first = steps(unpack_texts(group.column("text")))
         counts = {}
         for kind in (WORD, PAIR):
             own = sorted((s, i) for i, (s, x) in enumerate(zip(answers.column("shard").to_pylist(), answers.column("kind").to_pylist(), strict=True)) if x == kind)
