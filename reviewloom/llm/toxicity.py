@@ -63,6 +63,7 @@ class Distance:
 
     def words(self, words: Words) -> np.ndarray:
         keys, at, which = np.unique(words.hash, return_index=True, return_inverse=True)
+        self.memo.room()
         _, known = self.memo.find(keys)
         if len(new := np.flatnonzero(~known)):
             self.memo.learn(keys[new], np.array([self.of(words.word(i)) for i in at[new]], np.int64))

@@ -158,7 +158,8 @@ def hash_column(values: np.ndarray) -> pa.Array:
 
 
 class Memo:
-    """Values by 64-bit key in sorted arrays; starts anew beyond `limit` entries."""
+    """Values by 64-bit key in sorted arrays. Call room() before a batch is looked up, never between find() and learn():
+    it starts the memo anew beyond `limit` entries, so that what find() called known is still there afterwards."""
 
     def __init__(self, limit: int = 1 << 20):
         self.limit = limit
@@ -171,9 +172,11 @@ class Memo:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return self.values[at], self.keys[at] == keys
 
-    def learn(self, keys: np.ndarray, values: np.ndarray) -> None:
+    def room(self) -> None:
         if len(self.keys) > self.limit:
             self.__init__(self.limit)
+
+    def learn(self, keys: np.ndarray, values: np.ndarray) -> None:
         keys, values = np.concatenate([self.keys, keys]), np.concatenate([self.values, values])
         order = np.argsort(keys, kind="stable")
         self.keys, self.values = keys[order], values[order]

@@ -2,11 +2,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from reviewloom.llm import decontaminate, language, toxicity, urls
 from reviewloom.llm.catalog import QUERIES
+from reviewloom.llm.words import Memo, Words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -147,3 +149,11 @@ def test_toxicity_odd_rows(spark, odd_docs):
         got = toxicity.classify(odd_docs, marks).collect()
         assert len(got) == odd_docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
     assert toxicity.classify(odd_docs.limit(0), none).count() == 0
+
+
+def test_toxic_distances_hold_when_the_word_cache_starts_anew():
+    own = toxicity.Distance(b" plain common words of ordinary text ", b" wretchling vilemonger scumbucket ")
+    own.memo = Memo(limit=4)
+    for text in ("wretchling plain of text common", "wretchling plain new vilemonger", "scumbucket words wretchling plain", "wretchling ordinary vilemonger aa zz qq"):
+        w = Words(pa.array([text]))
+        assert own.words(w).tolist() == [own.of(x.encode()) for x in text.split()]
