@@ -185,3 +185,29 @@ def test_audit_finds_each_kind_of_change(spark):
     empty = warc.archive(pages.limit(0))
     assert warc.audit(empty, empty).count() == 0
     assert {r["status"] for r in warc.audit(warc.archive(pages), empty).collect()} == {"missing"}
+
+
+def changes(pages, replica):
+    rows = warc.audit(warc.archive(pages), warc.archive(replica)).collect()
+    return rows, Counter((r["page_id"], r["status"]) for r in rows if r["status"] not in ("intact", "moved"))
+
+
+def test_audit_matches_records_by_id(spark):
+    rows = [(i, f"http://x/{i}", f"page {i}", "f", "h") for i in range(6000)] + [(None, None, None, "f", "h"), (7, "http://x/7", "once", "f", "h"), (7, "http://x/7", "again", "f", "h")]
+    hurt = [(i, u, h[:-1] if i == 4500 else "other" if h == "once" else h, f, x) for i, u, h, f, x in rows if i not in (100, 5000)]
+    hurt += [(2000, "http://x/2000", "second", "f", "h"), (9001, "u", "new", "f", "h")]
+    got, found = changes(spark.createDataFrame(rows, PAGES), spark.createDataFrame(hurt, PAGES))
+    assert found == Counter([(7, "damaged"), (100, "missing"), (2000, "added"), (4500, "damaged"), (5000, "missing"), (9001, "added")])
+    assert len(got) == len(rows) + 2
+    moved = {r["page_id"] for r in got if r["status"] == "moved"}
+    # The last file's records behind 4500 lie one byte earlier; those ahead of the first change lie where they were.
+    assert set(range(4501, 6000)) - {5000} <= moved and not moved & {*range(7), *range(4096, 4500), None}
+    assert all(r["found_sha256"] == r["sha256"] for r in got if r["status"] in ("intact", "moved"))
+
+
+def test_drill_loses_adds_and_shortens(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"page {i}", "f", "h") for i in range(3000)], PAGES)
+    got, found = changes(pages, warc.drill(pages, "00", lose="1a", add="2b", shorten="3c"))
+    kind = {"00": "damaged", "1a": "missing", "2b": "added", "3c": "damaged"}
+    digest = [(i, hashlib.md5(str(i).encode()).hexdigest()[:2]) for i in range(3000)]
+    assert found == Counter((i, kind[d]) for i, d in digest if d in kind) and len(set(found)) > 20
