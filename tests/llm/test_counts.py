@@ -205,6 +205,22 @@ def test_audit_matches_records_by_id(spark):
     assert all(r["found_sha256"] == r["sha256"] for r in got if r["status"] in ("intact", "moved"))
 
 
+def test_audit_of_files_with_many_records(spark):
+    rows = [(5, "u", f"text {i:05}", "f", "h") for i in range(9000)] + [(6, "u", "same", "f", "h")] * 9000 + [(5000 + i, "u", f"{i:05}", "f", "h") for i in range(40)]
+    rows += [(None, "u", "null", "f", "h")] * 9000
+    pages = spark.createDataFrame(rows, PAGES)
+    made = warc.archive(pages).collect()
+    slots = {}
+    for r in sorted(made, key=lambda r: (r["file"], r["slot"])):
+        n, at = slots.get(r["file"], (0, 0))
+        assert (r["slot"], r["offset"]) == (n + 1, at)
+        slots[r["file"]] = n + 1, at + r["length"]
+    assert len(made) == len(rows) and sorted(n for n, _ in slots.values()) == [40, 9000, 18000]
+    hurt = spark.createDataFrame([(i, u, "Text 00123" if h == "text 00123" else "0000x" if h == "00007" else h, f, x) for i, u, h, f, x in rows], PAGES)
+    got, found = changes(pages, hurt)
+    assert len(got) == len(rows) and found == Counter([(5, "damaged"), (5007, "damaged")])
+
+
 def test_drill_loses_adds_and_shortens(spark):
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"page {i}", "f", "h") for i in range(3000)], PAGES)
     got, found = changes(pages, warc.drill(pages, "00", lose="1a", add="2b", shorten="3c"))
