@@ -3,7 +3,7 @@
 Tier one is a broadcast table from the hash of a frequent pre-token (a word with the blank before it, or a run of
 other white space) to its number of ids: FREQUENT entries at most, 16 bytes each, whatever the corpus holds. What it
 misses is encoded by the library once for a worker and kept in the worker's cache, which starts anew when full. The
-table only saves time: it is counted on a bounded sample and no count depends on it.
+table only saves time: it is counted over all documents, by hash, and no count depends on it.
 """
 
 from __future__ import annotations
@@ -20,16 +20,10 @@ from reviewloom.llm.pieces import cuts, pieces
 from reviewloom.llm.words import hash_column, slices, span_hashes
 
 FREQUENT = 1 << 16  # entries of the broadcast table
-SAMPLE_DOCS = 4000  # documents, about, on which the table's entries are counted
 
 
-def frequent_table(docs: DataFrame, path: str, size: int = FREQUENT, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, numbers of ids) of the commonest pre-tokens of a sample of documents chosen by id."""
-    total = docs.count()
-    if not total:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    share = min(1.0, sample_docs / total)
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
+def frequent_table(docs: DataFrame, path: str, size: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, numbers of ids) of the commonest pre-tokens of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -39,11 +33,10 @@ def frequent_table(docs: DataFrame, path: str, size: int = FREQUENT, sample_docs
                 column = column.filter(pa.array(~own._whole(column)))
                 data, start, end, _ = cuts(column, own.spaces)
                 keys, at, n = np.unique(span_hashes(data, start, end), return_index=True, return_counts=True)
-                many = np.flatnonzero(n > 1)
-                sizes, _ = own._values(pa.array([data[start[i] : end[i]].tobytes().decode() for i in at[many]], pa.string()), True)
-                yield pa.record_batch([hash_column(keys[many]), pa.array(sizes), pa.array(n[many])], ["key", "ids", "n"])
+                sizes, _ = own._values(column, True)
+                yield pa.record_batch([hash_column(keys), pa.array(sizes[at]), pa.array(n)], ["key", "ids", "n"])
 
-    rows = (chosen.mapInArrow(count, "key long, ids long, n long").groupBy("key")
+    rows = (docs.select("text").mapInArrow(count, "key long, ids long, n long").groupBy("key")
             .agg(F.first("ids").alias("ids"), F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(size).toPandas())
     keys = rows["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 from reviewloom.llm import fingerprints as fp
 from reviewloom.llm import lm_scoring, packing, token_counts, warc
 from reviewloom.llm.catalog import QUERIES, vocabulary
+from reviewloom.llm.words import span_hashes
 
 
 def encoded(name, texts):
@@ -227,3 +228,14 @@ def test_drill_loses_adds_and_shortens(spark):
     kind = {"00": "damaged", "1a": "missing", "2b": "added", "3c": "damaged"}
     digest = [(i, hashlib.md5(str(i).encode()).hexdigest()[:2]) for i in range(3000)]
     assert found == Counter((i, kind[d]) for i, d in digest if d in kind) and len(set(found)) > 20
+
+
+def test_frequent_pre_tokens_of_all_documents(spark):
+    path = vocabulary("byte_bpe_50k.json")
+    docs = spark.range(0, 9000, 1, 8).selectExpr("id AS doc_id", "concat('w', id, IF(id % 1125 = 7, ' scattered', '')) AS text")
+    keys, ids = token_counts.frequent_table(docs, path)
+    got = dict(zip(keys.tolist(), ids.tolist()))
+    texts = [f"w{i}" for i in range(9000)] + [" scattered"]
+    hashes = [int(span_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([len(t)]))[0]) for t in texts]
+    assert got == dict(zip(hashes, map(len, encoded("byte_bpe_50k.json", texts))))
+    assert token_counts.frequent_table(docs, path, 1)[0].tolist() == hashes[-1:]
