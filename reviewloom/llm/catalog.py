@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reviewloom.llm import decontaminate, fingerprints, language, lm_scoring, near_duplicates, packing, token_counts, toxicity, urls, warc
+from reviewloom.llm import decontaminate, fingerprints, language, lm_scoring, manifest, near_duplicates, packing, token_counts, toxicity, urls, warc
 from reviewloom.llm.shared import table
 
 
@@ -90,6 +91,36 @@ FROM b WINDOW w AS (PARTITION BY file ORDER BY page_id)
 """
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(table(spark, sf_dir, "documents"), manifest.stripped(F.col("doc_id"), F.col("text")))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i)),
+x AS (SELECT doc_id, source, lang, n_chars, text,
+    CASE WHEN xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c // 256)), 4294967295) % 2 = 0
+        THEN replace(text, chr(10), '') ELSE text END AS now FROM documents, crc),
+h AS (SELECT doc_id, source, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS was, coalesce(strlen(now) || ':' || now, '-') AS is_now FROM x),
+d AS (SELECT doc_id, coalesce('=' || source, '-') AS tree, sha256(head || was) AS leaf, sha256(head || is_now) AS found FROM h),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k0, count(*) OVER (PARTITION BY tree) AS n0 FROM d),
+t(tree, lev, k, n, digest) AS (SELECT tree, 0, k0, n0, leaf FROM l
+    UNION ALL SELECT tree, lev + 1, k // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY k)) FROM t WHERE n > 1 GROUP BY tree, lev, k // 3, n),
+s AS (SELECT tree, lev AS height, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS q, count(*) OVER () AS m FROM t WHERE n = 1),
+u(lev, k, n, digest) AS (SELECT 0, q, m, subroot FROM s
+    UNION ALL SELECT lev + 1, k // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY k)) FROM u WHERE n > 1 GROUP BY lev, k // 3, n),
+r AS (SELECT lev AS top, digest AS root FROM u WHERE n = 1),
+a AS (SELECT l.tree, k0, lev, k, k // 3 AS run, digest, k < k0 // CAST(pow(3, lev) AS BIGINT) AS ahead FROM l JOIN t ON t.tree = l.tree AND n > 1 AND k // 3 = k0 // CAST(pow(3, lev + 1) AS BIGINT) AND k <> k0 // CAST(pow(3, lev) AS BIGINT)
+    UNION ALL SELECT s.tree, k0, height + lev, k, k // 3, digest, k < q // CAST(pow(3, lev) AS BIGINT) FROM l JOIN s ON s.tree = l.tree JOIN u ON n > 1 AND k // 3 = q // CAST(pow(3, lev + 1) AS BIGINT) AND k <> q // CAST(pow(3, lev) AS BIGINT)),
+p AS (SELECT tree, k0, sha256(string_agg(digest, '' ORDER BY lev, k)) AS proof FROM a GROUP BY tree, k0),
+g AS (SELECT tree, k0, lev, coalesce(string_agg(digest, '' ORDER BY k) FILTER (ahead), '') AS lft, coalesce(string_agg(digest, '' ORDER BY k) FILTER (NOT ahead), '') AS rgt FROM a GROUP BY tree, k0, lev),
+f(tree, k0, lev, acc) AS (SELECT tree, k0, 0, found FROM l
+    UNION ALL SELECT f.tree, f.k0, f.lev + 1, sha256(coalesce(lft, '') || acc || coalesce(rgt, '')) FROM f JOIN s ON s.tree = f.tree CROSS JOIN r LEFT JOIN g ON g.tree = f.tree AND g.k0 = f.k0 AND g.lev = f.lev WHERE f.lev < height + top)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM l JOIN s ON s.tree = l.tree CROSS JOIN r LEFT JOIN p ON p.tree = l.tree AND p.k0 = l.k0 JOIN f ON f.tree = l.tree AND f.k0 = l.k0 AND f.lev = height + top
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -107,10 +138,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_audit": op8_warc_audit,
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
+    "op13_manifest": op13_manifest,
     "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_warc_audit": OP8_SQL,
     "op2_decontamination": OP2_SQL,
+    "op13_manifest": OP13_SQL,
 }
