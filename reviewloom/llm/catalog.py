@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import decontaminate, fingerprints, language, lm_scoring, manifest, near_duplicates, packing, token_counts, toxicity, urls, warc
+from reviewloom.llm import decontaminate, fingerprints, language, lm_scoring, manifest, near_duplicates, packing, quality, token_counts, toxicity, urls, warc
 from reviewloom.llm.shared import table
 
 
@@ -91,6 +91,10 @@ FROM b WINDOW w AS (PARTITION BY file ORDER BY page_id)
 """
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audit(table(spark, sf_dir, "documents"), manifest.stripped(F.col("doc_id"), F.col("text")))
 
@@ -138,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_audit": op8_warc_audit,
     "op9_language": op9_language,
     "op10_toxicity": op10_toxicity,
+    "op11_quality": op11_quality,
     "op13_manifest": op13_manifest,
     "pipeline": pipeline,
 }
