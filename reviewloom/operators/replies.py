@@ -173,36 +173,39 @@ def draft_batch_stats(drafts: DataFrame) -> DataFrame:
         F.count_if("needs_human_review").alias("needs_review"))
 
 
-def _salts(reviews: DataFrame, digest: Column) -> Column:
+def _salts(reviews: DataFrame, digest: Column, hot_rows: int) -> Column:
     """Number of salts per text digest, one unless its measured share of the reviews is large.
 
-    Only digests with a thousandth of all rows or more are listed, so the map has a thousand entries
-    at most.
+    Only digests with a thousandth of all rows or more, and over ``hot_rows`` of them, are listed,
+    so the map has a thousand entries at most.
     """
     total = reviews.agg(F.count(F.lit(1))).scalar()
     counts = reviews.select(digest.alias("_h")).filter("_h IS NOT NULL").groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.filter((F.col("n") * 1000 >= total) & (F.col("n") > 1000))
+    hot = counts.filter((F.col("n") * 1000 >= total) & (F.col("n") > hot_rows))
     listed = hot.agg(F.map_from_entries(F.collect_list(F.struct("_h", F.ceil(F.col("n") * 1000 / total).cast("int"))))).scalar()
     return F.coalesce(F.try_element_at(listed, F.col("_h")), F.lit(1))
 
 
-def lookup_drafts(reviews: DataFrame, drafts: DataFrame, rules: IssueRules) -> DataFrame:
+def lookup_drafts(reviews: DataFrame, drafts: DataFrame, rules: IssueRules, hot_rows: int = 1000) -> DataFrame:
     """Severity and issue types of each review: from an earlier draft of the same text (the first
     one), else classified now.
 
-    Copies of one text may be a large share of all reviews: such digests are salted on the review
-    side, by their measured counts, and their drafts - one row per text after the minimum - repeated.
+    Copies of one text may be a large share of all reviews: digests with more than ``hot_rows`` of
+    them are salted on the review side, by their measured counts, and their drafts - one row per
+    text after the minimum - repeated. Only reviews without a draft are classified.
     """
     first = drafts.groupBy(F.sha2("review_text", 256).alias("_h")).agg(
         F.min_by(F.struct(F.array_join("issue_types", ", ").alias("t"), F.col("severity").alias("s")),
                  F.col(SEQ)).alias("_d"))
     digest = F.sha2("clean_text", 256)
-    salts = _salts(reviews, digest)
+    salts = _salts(reviews, digest, hot_rows)
     first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    tagged = issues.classify(reviews, rules).withColumn("_h", digest).withColumn(
-        "_salt", F.pmod(F.xxhash64(SEQ), salts).cast("int"))
-    joined = tagged.join(first, ["_h", "_salt"], "left")
-    return joined.select(
+    salted = reviews.withColumn("_h", digest).withColumn("_salt", F.pmod(F.xxhash64(SEQ), salts).cast("int"))
+    joined = salted.join(first, ["_h", "_salt"], "left")
+    # A null text costs nothing to classify, and nothing reads the outcome where a draft is there.
+    open_text = joined.withColumn("_open", F.when(F.col("_d").isNull(), F.col("clean_text")))
+    tagged = issues.classify(open_text, rules, "_open")
+    return tagged.select(
         *[F.col(c) for c in reviews.columns],
         F.coalesce("_d.t", F.array_join("issue_types", ", ")).alias("issue_types"),
         F.coalesce("_d.s", "severity").alias("severity"),

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from reviewloom.functions import text as tx
 from reviewloom.functions.rules import IssueRules
 from reviewloom.operators import aggregates as ag
 from reviewloom.operators import cleaning as cl
@@ -229,3 +230,27 @@ def test_hot_texts_are_salted_by_their_counts(spark, make_reviews):
     drafts = reviews.filter("ingest_seq % 1000 = 0").withColumns({"issue_types": F.array(F.lit("x")), "severity": F.lit("low")})
     got = rp.lookup_drafts(reviews, drafts, RULES).groupBy("from_draft").count().collect()
     assert {r.from_draft: r["count"] for r in got} == {True: 3002, False: 1498}
+
+
+def test_sketch_never_drops_a_frequent_term(spark):
+    """Narrow sketches let rare terms through, but the weights stay those of the exact limits."""
+    texts = [(i, "abc"[i % 3], " ".join(f"word{(i * k) % 37}" for k in range(1, 9)) + f" only{i}") for i in range(60)]
+    df = spark.createDataFrame(texts, "ingest_seq long, app_name string, clean_text string")
+    toks = df.select("app_name", "ingest_seq", tx.tokens(F.lower("clean_text")).alias("tokens"))
+    shown = toks.select("app_name", F.explode(F.array_distinct(tx.terms(F.col("tokens"), 1, 2))).alias("term"))
+    frequent = {tuple(r) for r in shown.groupBy("app_name", "term").count().filter("count >= 3").select("app_name", "term").collect()}
+    for width, depth in ((64, 1), (256, 2), (1 << 14, 4)):
+        keep = te.frequent_terms(toks, ["app_name"], 1, 2, 3, width=width, depth=depth)
+        kept = {tuple(r) for r in shown.filter(keep(F.col("term"))).distinct().collect()}
+        assert frequent <= kept
+    assert len(kept) < 1.2 * len(frequent) < shown.distinct().count()
+    rows = lambda **x: {(r.app_name, r.ingest_seq, r.term): round(r.weight, 9) for r in te.tfidf(df, ["app_name"], min_df=3, **x).collect()}
+    with_sketch, without = rows(), rows(sketch=False)
+    assert with_sketch == without and {k[::2] for k in with_sketch} == frequent
+
+
+def test_rare_terms_leave_before_their_rows_are_shuffled(spark):
+    df = spark.createDataFrame([(i, f"some words here {i}") for i in range(20)], "ingest_seq long, clean_text string")
+    plan = te.tfidf(df, [], min_df=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("getbit") > plan.index("BroadcastHashJoin")  # the test sits below the join, next to the explode
+    assert plan.count("hashpartitioning(ingest_seq") == 1 and "hashpartitioning(term" not in plan

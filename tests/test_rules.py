@@ -119,10 +119,12 @@ def test_draft_lookup_with_a_hot_text(spark):
     drafts_df = spark.createDataFrame(
         [(5, "같은 글", ["x"], "low"), (2, "같은 글", ["y"], "high")],
         "ingest_seq long, review_text string, issue_types array<string>, severity string")
-    rows = rp.lookup_drafts(reviews, drafts_df, RULES, salts=4).collect()
-    assert len(rows) == 90
-    assert {(r.issue_types, r.severity) for r in rows if r.from_draft} == {("y", "high")}
-    assert sum(r.from_draft for r in rows) == 60
+    for hot_rows in (10, 1000):  # salted and not
+        rows = rp.lookup_drafts(reviews, drafts_df, RULES, hot_rows=hot_rows).collect()
+        assert len(rows) == 90
+        assert {(r.issue_types, r.severity) for r in rows if r.from_draft} == {("y", "high")}
+        assert sum(r.from_draft for r in rows) == 60
+        assert {r.issue_types for r in rows if not r.from_draft} == {RULES.other}
 
 
 def test_dictionary_words_are_normalised(spark):
