@@ -5,6 +5,7 @@ Results are flat (arrays joined, dates as text, floating sums rounded) so they c
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from reviewloom.functions import text as tx
 from reviewloom.operators import aggregates as ag
 from reviewloom.operators import cleaning as cl
 from reviewloom.operators import evaluation as ev
+from reviewloom.operators import grams as gr
+from reviewloom.operators import increments as inc
 from reviewloom.operators import insights as ins
 from reviewloom.operators import issues as iss
 from reviewloom.operators import quality as qu
@@ -215,6 +218,15 @@ def matched_keywords(spark, sf):
     return iss.matched_keywords(clean_docs(spark, sf).select(SEQ, "clean_text"), RULES)
 
 
+@query
+def matched_keywords_table(spark, sf):
+    """A dictionary of thousands of words, made from the benchmark's texts; the type is the word's length."""
+    word = F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("keyword")
+    words = ad.table(spark, sf, "benchmark").select(word).filter(F.length("keyword") >= 5).distinct()
+    keywords = words.select(F.concat(F.lit("length "), F.length("keyword")).alias("issue_type"), "keyword")
+    return gr.keyword_matches(clean_docs(spark, sf).select(SEQ, "clean_text"), keywords)
+
+
 @query
 def severity_dist(spark, sf):
     return iss.severity_distribution(classified_docs(spark, sf))
@@ -351,6 +363,17 @@ def review_search_literal(spark, sf):
     return found.select(SEQ, "rating")
 
 
+def _text_index(spark, sf) -> DataFrame:
+    return shared("text index", spark, sf, lambda: gr.text_index(clean_docs(spark, sf)))
+
+
+@query
+def review_search_indexed(spark, sf):
+    found = gr.indexed_search(clean_docs(spark, sf), _text_index(spark, sf), "the TH[a-z]+ (on|of)",
+                              stores=["en", "de"], rating_min=2, rating_max=4)
+    return found.select(SEQ, "app_name", "store", "rating")
+
+
 @query
 def negative_listing(spark, sf):
     return se.negative_listing(clean_docs(spark, sf)).select(
@@ -413,6 +436,21 @@ def merge_apply(spark, sf):
         SEQ, F.col(SRC)[0].alias("source_no"), "app_name", "store", "review_len", "has_pii_masked")
 
 
+def _keyed_base(spark, sf) -> DataFrame:
+    def make() -> DataFrame:
+        name = f"review_base_{zlib.crc32(sf.encode())}"
+        inc.write_base(inc.clean_keyed(docs(spark, sf)), name, buckets=8)
+        return spark.table(name)
+    return shared("keyed base", spark, sf, make)
+
+
+@query
+def merge_incremental(spark, sf):
+    """merge_apply against a base that is already clean, bucketed and sorted by key."""
+    return inc.merged(_keyed_base(spark, sf), _restored(spark, sf)).select(
+        SEQ, F.col(SRC)[0].alias("source_no"), "app_name", "store", "review_len", "has_pii_masked")
+
+
 @query
 def collect_and_clean(spark, sf):
     """Three landed sources whose numbers collide, cleaned as one: the first source's row of a key stays."""

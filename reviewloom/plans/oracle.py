@@ -249,6 +249,9 @@ add("classified_reviews", CLS, "SELECT ingest_seq, array_to_string(issue_types,
 _dict = ", ".join(f"({s(t)}, {s(w)}, {s(word(w))})" for t, ws in R.issue_types.items() for w in ws)
 add("matched_keywords", CLEAN, f"k AS (SELECT * FROM (VALUES {_dict}) v(issue_type, keyword, needle))",
     f"SELECT ingest_seq, issue_type, keyword FROM clean JOIN k ON contains({NORM}, needle)")
+add("matched_keywords_table", CLEAN, """k AS (SELECT DISTINCT keyword FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS keyword FROM benchmark)
+  WHERE length(keyword) >= 5)""", f"""SELECT ingest_seq, 'length ' || length(keyword) AS issue_type, keyword
+FROM (SELECT ingest_seq, {NORM} AS norm FROM clean) JOIN k ON contains(norm, keyword)""")
 add("severity_dist", CLS, "SELECT severity, count(*) AS n FROM cls GROUP BY 1")
 
 
@@ -379,6 +382,8 @@ add("review_search", CLEAN, """SELECT ingest_seq, app_name, store, rating FROM c
 WHERE store IN ('en', 'de') AND rating BETWEEN 2 AND 4 AND regexp_matches(clean_text, 'TH(ing|er)[a-z]+', 'i')""")
 add("review_search_literal", CLEAN, """SELECT ingest_seq, rating FROM clean
 WHERE rating BETWEEN 1 AND 5 AND contains(lower(clean_text), 'the th')""")
+add("review_search_indexed", CLEAN, """SELECT ingest_seq, app_name, store, rating FROM clean
+WHERE store IN ('en', 'de') AND rating BETWEEN 2 AND 4 AND regexp_matches(clean_text, 'the TH[a-z]+ (on|of)', 'i')""")
 add("negative_listing", CLEAN, f"""SELECT ingest_seq, app_name, rating, {DAY}, clean_text FROM clean
 WHERE rating <= 2 ORDER BY ingest_seq LIMIT 100""")
 add("evidence_rows", CLEAN, """SELECT CAST(row_number() OVER (ORDER BY ingest_seq) AS INTEGER) AS evidence_no,
@@ -407,6 +412,8 @@ add("overwrite_apply", REVIEWS, "fresh AS (SELECT * REPLACE ('en' AS store) FROM
     "SELECT ingest_seq, app_name, store, clean_text FROM clean")
 add("merge_apply", REVIEWS, BOTH, cleaning("both_loads", order="source_no, ingest_seq"),
     "SELECT ingest_seq, source_no, app_name, store, review_len, has_pii_masked FROM clean")
+add("merge_incremental", REVIEWS, BOTH, cleaning("both_loads", order="source_no, ingest_seq"),
+    "SELECT ingest_seq, source_no, app_name, store, review_len, has_pii_masked FROM clean")
 add("collect_and_clean", REVIEWS, """three AS (SELECT *, 0 AS source_no FROM reviews WHERE rating IS NOT NULL
   UNION ALL SELECT *, 1 FROM reviews WHERE store = 'en' UNION ALL SELECT * REPLACE ('en' AS store), 2 FROM reviews)""",
     cleaning("three", order="source_no, ingest_seq"),
