@@ -93,6 +93,10 @@ def kpi_row(df: DataFrame) -> DataFrame:
         _rows().alias("review_count"),
         F.coalesce(F.round(F.avg("rating"), 2), F.lit(0.0)).alias("avg_rating"),
         F.coalesce(negative_share(F.col("rating")), F.lit(0.0)).alias("negative_ratio"))
+    return with_tones(row)
+
+
+def with_tones(row: DataFrame) -> DataFrame:
     avg, neg = F.col("avg_rating"), F.col("negative_ratio")
     return row.withColumns({
         "avg_tone": F.when(avg >= 3.5, "ok").when(avg >= 2.5, "warn").otherwise("bad"),
@@ -100,12 +104,16 @@ def kpi_row(df: DataFrame) -> DataFrame:
     })
 
 
+def trend_period(dated: DataFrame, max_daily_span: int) -> Column:
+    """The day, or the month when the dates span more than ``max_daily_span`` days."""
+    daily = dated.agg(F.datediff(F.max("date"), F.min("date")) <= max_daily_span).scalar()
+    return F.when(daily, F.date_format("date", "yyyy-MM-dd")).otherwise(F.date_format("date", "yyyy-MM"))
+
+
 def rating_trend(df: DataFrame, max_daily_span: int = 70) -> DataFrame:
     """Reviews and mean rating per day, or per month when the dates span more than 70 days."""
     dated = df.filter(F.col("date").isNotNull())
-    daily = dated.agg(F.datediff(F.max("date"), F.min("date")) <= max_daily_span).scalar()
-    bucket = F.when(daily, F.date_format("date", "yyyy-MM-dd")).otherwise(F.date_format("date", "yyyy-MM"))
-    return dated.groupBy(bucket.alias("period")).agg(
+    return dated.groupBy(trend_period(dated, max_daily_span).alias("period")).agg(
         _rows().alias("review_count"), F.avg("rating").alias("avg_rating")).orderBy("period")
 
 

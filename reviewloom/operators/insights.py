@@ -130,15 +130,16 @@ def split_complaints(summary: DataFrame, column: str = "top_complaint_types") ->
 
 def benchmark_summary(clean: DataFrame, rules: IssueRules,
                       features: Mapping[str, Sequence[str]] = fv.FEATURE_KEYWORDS,
-                      top_n: int = 5) -> DataFrame:
+                      top_n: int = 5, top_terms: DataFrame | None = None) -> DataFrame:
     """One row per app: metrics, feature rates, top complaints and top terms ('-' when none).
 
-    All four inputs are one row per app already; the joins carry no review rows.
+    All four inputs are one row per app already; the joins carry no review rows. ``top_terms`` are
+    those of ``app_top_terms`` where they are known already.
     """
     metrics = ag.app_metrics(clean)
     rates = ag.feature_mention_rates(clean, features)
     complaints = joined_complaints(issues.top_complaints(clean, rules, top_n))
-    keywords = joined_terms(terms.app_top_terms(clean, top_n))
+    keywords = joined_terms(terms.app_top_terms(clean, top_n) if top_terms is None else top_terms)
     out = metrics.join(rates, "app_name", "left").join(complaints, "app_name", "left").join(
         keywords, "app_name", "left")
     return out.na.fill("-", ["top_complaint_types", "top_topic_keywords"])

@@ -16,6 +16,7 @@ from reviewloom.functions import labels as lb
 from reviewloom.functions import text as tx
 from reviewloom.operators import aggregates as ag
 from reviewloom.operators import cleaning as cl
+from reviewloom.operators import daily as dl
 from reviewloom.operators import evaluation as ev
 from reviewloom.operators import grams as gr
 from reviewloom.operators import increments as inc
@@ -348,6 +349,41 @@ def period_filter_next_day(spark, sf):
     return rows.groupBy(day("date")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _state(spark, sf, kind: str) -> DataFrame:
+    rows = {"docs": docs, "events": events}[kind]
+    return shared(f"daily {kind}", spark, sf, lambda: materialize(dl.daily_state(rows(spark, sf)), f"daily-{kind}"))
+
+
+@query
+def app_metrics_state(spark, sf):
+    return rounded(ag.sorted_by_rating(dl.app_metrics(_state(spark, sf, "docs"))))
+
+
+@query
+def recent_change_state(spark, sf):
+    return rounded(dl.app_metrics(_state(spark, sf, "events"), 7).select("app_name", "recent30d_rating_change"))
+
+
+@query
+def kpi_row_state(spark, sf):
+    return rounded(dl.kpi_row(_state(spark, sf, "docs").filter(F.col("app_name") == OWN)))
+
+
+@query
+def trend_daily_state(spark, sf):
+    return rounded(dl.rating_trend(_state(spark, sf, "events")))
+
+
+@query
+def trend_monthly_state(spark, sf):
+    return rounded(dl.rating_trend(_state(spark, sf, "docs")))
+
+
+@query
+def period_benchmark_state(spark, sf):
+    return rounded(dl.period_benchmark(_state(spark, sf, "events"), "2024-01-08", "2024-01-21"))
+
+
 # --- search, listings, display --------------------------------------------------------------
 
 @query

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.functions import fixed_values as fv
 from reviewloom.functions.rules import IssueRules, ReplyPolicy
 from reviewloom.operators import aggregates as ag
 from reviewloom.operators import cleaning as cl
@@ -15,8 +17,10 @@ from reviewloom.operators import insights as ins
 from reviewloom.operators import issues as iss
 from reviewloom.operators import quality as qu
 from reviewloom.operators import replies as rp
+from reviewloom.operators import terms as te
 from reviewloom.plans import sentiment as sm
 from reviewloom.plans.stages import materialize
+from reviewloom.sources import sinks
 
 
 @dataclass
@@ -30,6 +34,9 @@ class Analysis:
     complaints: DataFrame
     severity: DataFrame
     gaps: DataFrame
+    benchmark: DataFrame
+    top_terms: DataFrame
+    topics: DataFrame | None
     drafts: DataFrame
     reply_scores: DataFrame
     report: DataFrame
@@ -37,7 +44,7 @@ class Analysis:
 
 
 def analyse(raw: DataFrame, own_app: str, rules: IssueRules | None = None, policy: ReplyPolicy | None = None,
-            reply_rows: int | None = None, topics: DataFrame | None = None,
+            features: Mapping[str, Sequence[str]] = fv.FEATURE_KEYWORDS, reply_rows: int | None = None, topics: DataFrame | None = None,
             trained: sm.Trained | None = None, stage_folder: str | None = None) -> Analysis:
     """Cleaning and classification run once, into a stage table; everything else fans out from it.
 
@@ -48,6 +55,7 @@ def analyse(raw: DataFrame, own_app: str, rules: IssueRules | None = None, polic
     classified = materialize(iss.classify(cl.clean_reviews(raw), rules), "classified", stage_folder)
     metrics = ag.app_metrics(classified)
     complaints = iss.top_complaints(classified, rules)
+    top_terms = materialize(te.app_top_terms(classified, folder=stage_folder), "top-terms", stage_folder)
     gate = qu.quality_gate(classified, own_app)
     drafts = rp.draft_batch(classified, rules, policy, reply_rows)
     scored = rp.score_replies(drafts, policy)
@@ -61,5 +69,17 @@ def analyse(raw: DataFrame, own_app: str, rules: IssueRules | None = None, polic
         classified=classified, quality=qu.quality_summary(raw), gate=gate,
         metrics=ag.sorted_by_rating(metrics), complaints=complaints,
         severity=iss.severity_distribution(classified),
-        gaps=ins.gap_analysis(metrics, complaints, own_app), drafts=drafts, reply_scores=scored,
+        gaps=ins.gap_analysis(metrics, complaints, own_app),
+        benchmark=ins.benchmark_summary(classified, rules, features, top_terms=top_terms), top_terms=top_terms,
+        topics=topics, drafts=drafts, reply_scores=scored,
         report=ins.report_rows(classified, rules, own_app, topics), success=ev.success_gate(facts))
+
+
+def run_entry(analysis: Analysis, run_id: str, timestamp: str, elapsed_sec: float) -> DataFrame:
+    """The run log's row for an analysis: replies drafted, seconds, and the first reasons that name a model error."""
+    runs = analysis.drafts.agg(F.count(F.lit(1)).alias("total")).select(
+        F.lit(run_id).alias("run_id"), F.lit("analysis").alias("kind"), F.lit(timestamp).alias("timestamp"), "total",
+        F.lit(float(elapsed_sec)).alias("elapsed_sec"))
+    failed = analysis.drafts.filter(F.contains("reason", F.lit(fv.REASON_MODEL_ERROR.strip())))
+    errors = failed.select(F.lit(run_id).alias("run_id"), F.col(cl.SEQ).alias("error_no"), F.col("reason").alias("error"))
+    return sinks.run_entries(runs, errors.orderBy("error_no").limit(10))

@@ -752,3 +752,7 @@ UNION ALL SELECT 'sentiment_f1_target', f1 >= 0.75, false FROM fact
 UNION ALL SELECT 'reply_safety_pass', safe, true FROM fact
 UNION ALL SELECT 'reply_quality_pass', good, true FROM fact
 UNION ALL SELECT 'overall_pass', gate AND total >= 1000 AND safe AND good, true FROM fact""")
+
+# The same figures, read from the daily sums.
+for _name in ("app_metrics", "recent_change", "kpi_row", "trend_daily", "trend_monthly", "period_benchmark"):
+    ORACLE_SQL[f"{_name}_state"] = ORACLE_SQL[_name]

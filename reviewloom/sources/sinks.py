@@ -36,6 +36,15 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], METRICS_SCHEMA)
 
 
+def replace_sections(new: DataFrame, path: str) -> None:
+    """Writes each section of ``new`` whole, as a partition of its own; other sections' files stay.
+
+    Writers of different sections do not meet: each replaces only the partitions it holds rows of.
+    """
+    (new.repartition("section").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("section").parquet(path))
+
+
 def append_metrics(new: DataFrame, path: str) -> None:
     new.write.mode("append").parquet(path)
 

@@ -9,12 +9,13 @@ from reviewloom.functions import text as tx
 from reviewloom.functions.rules import IssueRules
 from reviewloom.operators import aggregates as ag
 from reviewloom.operators import cleaning as cl
+from reviewloom.operators import daily as dl
 from reviewloom.operators import evaluation as ev
 from reviewloom.operators import insights as ins
 from reviewloom.operators import sampling as sp
 from reviewloom.operators import search as se
 from reviewloom.operators import terms as te
-from reviewloom.plans.flow import analyse
+from reviewloom.plans.flow import analyse, run_entry
 
 RULES = IssueRules()
 
@@ -187,6 +188,12 @@ def test_flow_end_to_end(spark, make_reviews):
     assert {r.check_name for r in a.success.collect()} >= {"overall_pass"}
     assert a.quality.first().output_rows == 1200
     assert a.gaps.count() > 0 and a.severity.count() > 1 and a.metrics.count() == 4
+    bench = {r.app_name: r for r in a.benchmark.collect()}
+    words = {r.app_name for r in a.top_terms.collect()}
+    assert len(bench) == 4 and words == {k for k, r in bench.items() if r.top_topic_keywords != "-"} and words
+    assert a.topics is None
+    run = run_entry(a, "r1", "2026-03-01T00:00:00", 600.0).first()
+    assert (run.run_id, run.total, run.avg_sec_per_reply, run.errors) == ("r1", 1200, 0.5, [])
     a.classified.unpersist()
 
 
@@ -254,3 +261,26 @@ def test_rare_terms_leave_before_their_rows_are_shuffled(spark):
     plan = te.tfidf(df, [], min_df=2)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("getbit") > plan.index("BroadcastHashJoin")  # the test sits below the join, next to the explode
     assert plan.count("hashpartitioning(ingest_seq") == 1 and "hashpartitioning(term" not in plan
+
+
+def test_daily_state_gives_the_figures_of_the_reviews(spark, typed, tmp_path):
+    rows = [(["a", "b", None][i % 3], "s", [None, "1", "2", "4", "5"][i % 5], f"2026-0{i % 2 + 1}-{i % 28 + 1:02d}" if i % 7 else None, "t") for i in range(300)]
+    df, path = typed(rows), str(tmp_path / "state")
+    same = lambda x, y: sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
+
+    def check(reviews, state):
+        assert same(dl.app_metrics(state), ag.app_metrics(reviews)) and same(dl.kpi_row(state), ag.kpi_row(reviews))
+        assert same(dl.rating_trend(state), ag.rating_trend(reviews)) and same(dl.rating_trend(state, 5), ag.rating_trend(reviews, 5))
+        assert same(dl.period_benchmark(state, "2026-01-05", "2026-02-09"), ag.period_benchmark(reviews, "2026-01-05", "2026-02-09"))
+
+    dl.refresh_days(df, path)
+    check(df, dl.read_state(spark, path))
+    more = df.unionByName(typed([("a", "s", "1", "2026-01-05", "late"), ("c", "s", "5", "2026-03-01", "new")]))
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "state").glob("date=*/*.parquet")}
+    dl.refresh_days(more, path, ["2026-01-05", "2026-03-01"])
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "state").glob("date=*/*.parquet")}
+    assert {f.parent.name for f in set(before.items()) ^ set(after.items()) for f in [f[0]]} == {"date=2026-01-05", "date=2026-03-01"}
+    check(more, dl.read_state(spark, path))
+    check(df.limit(0), dl.read_state(spark, str(tmp_path / "none")))
+    halves = [dl.daily_state(more.filter(F.col("ingest_seq") % 2 == k)) for k in (0, 1)]
+    check(more, dl.merge_states(*halves))

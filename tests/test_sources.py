@@ -1,4 +1,5 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.errors import PySparkException
@@ -172,3 +173,13 @@ def test_manifest_names_manual_files(make_reviews):
     rows = make_reviews([("a", "app_store", "1", "d", "t"), ("a", "google_play", "1", "d", "t"), ("b", "app_store", "1", "d", "t")])
     got = {(r.app_name, r.collection_method, r.url_or_file) for r in rg.validated_manifest(rg.manifest_records(rows, "now", {"a": "a.csv"})).collect()}
     assert got == {("a", "app_store_manual_csv", "a.csv"), ("a", "google_play_scraper", "url"), ("b", "manual_download", "url")}
+
+
+def test_sections_are_replaced_side_by_side(spark, tmp_path):
+    path = str(tmp_path / "metrics")
+    rows = lambda *r: spark.createDataFrame(r, sk.METRICS_SCHEMA)
+    sk.replace_sections(rows(("kpi", "n", "1", "t1"), ("kpi", "m", "2", "t1"), ("reply", "n", "3", "t1")), path)
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda r: sk.replace_sections(rows(r), path), [("kpi", "n", "9", "t2"), ("topics", "k", "10", "t2")]))
+    got = {tuple(r) for r in sk.read_metrics(spark, path).collect()}
+    assert got == {("kpi", "n", "9", "t2"), ("reply", "n", "3", "t1"), ("topics", "k", "10", "t2")}
