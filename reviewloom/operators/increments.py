@@ -26,19 +26,20 @@ def clean_keyed(raw: DataFrame, keys: list[str] = fv.DEDUPE_KEY, min_len: int =
     return cl.keep_long_enough(cl.mask_and_clean(cl.with_typed_columns(rows)), min_len)
 
 
-def _place(spark: SparkSession, folder: str | None) -> str:
+def base_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """The named folder, else the cluster's shared one; only a local session may go without and gets a temporary one."""
     folder = folder or shared_folder(spark)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("name a shared folder for the base table, or set spark.checkpoint.dir")
+            raise ValueError("name a shared folder, or set spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="review-base-")
-    return f"{folder.rstrip('/')}/base-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
 
 
 def write_base(clean: DataFrame, name: str, buckets: int, folder: str | None = None) -> None:
     """Writes rows with a key as the table ``name``: a file per bucket, sorted by key. The folder is the caller's."""
     (clean.repartition(buckets, KEY).write.format("parquet").bucketBy(buckets, KEY).sortBy(KEY)
-     .option("path", _place(clean.sparkSession, folder)).mode("overwrite").saveAsTable(name))
+     .option("path", f"{base_folder(clean.sparkSession, folder)}/base-{uuid.uuid4().hex}").mode("overwrite").saveAsTable(name))
 
 
 def new_rows(base: DataFrame, new: DataFrame, keys: list[str] = fv.DEDUPE_KEY, min_len: int = fv.MIN_REVIEW_LEN) -> DataFrame:

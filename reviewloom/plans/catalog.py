@@ -5,6 +5,7 @@ Results are flat (arrays joined, dates as text, floating sums rounded) so they c
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable
 
@@ -264,6 +265,16 @@ def complaint_text_roundtrip(spark, sf):
     return ins.split_complaints(text)
 
 
+@query
+def csv_round_trip(spark, sf):
+    """The clean rows written as CSV files and read back; multi-line and quoted texts survive."""
+    path = f"{inc.base_folder(spark)}/csv-{uuid.uuid4().hex}"
+    sk.export_csv(clean_docs(spark, sf).select(SEQ, "app_name", "store", "date", "review_len", "review_text"), path)
+    back = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+    return back.select(F.col(SEQ).cast("long").alias(SEQ), "app_name", "store", "date", F.col("review_len").cast("int").alias("review_len"),
+                       F.md5(F.col("review_text").cast("binary")).alias("text_md5"))
+
+
 # --- app metrics ----------------------------------------------------------------------------
 
 @query

@@ -280,6 +280,7 @@ add("complaint_text_roundtrip", CLS, COMPLAINTS,
 R6 = "round({0}, 6) AS {0}"
 METRIC_COLS = ("app_name, review_count, round(avg_rating, 6) AS avg_rating, round(negative_ratio, 6) AS negative_ratio, "
                "round(recent30d_rating_change, 6) AS recent30d_rating_change")
+add("csv_round_trip", CLEAN, f"""SELECT ingest_seq, app_name, store, {DAY}, review_len, md5(review_text) AS text_md5 FROM clean""")
 add("app_metrics", REVIEWS, metrics("reviews"), f"SELECT {METRIC_COLS} FROM metrics")
 add("recent_change", EVENTS, metrics("ev", 7),
     "SELECT app_name, round(recent30d_rating_change, 6) AS recent30d_rating_change FROM metrics")
