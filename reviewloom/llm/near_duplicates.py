@@ -17,7 +17,6 @@ task, and only links leave it; no group is emitted as all its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -91,10 +90,6 @@ def bag_minhash(row: np.ndarray, item: np.ndarray, count: np.ndarray, rows: int,
     return out
 
 
-def digests(words: Words) -> list[bytes]:
-    return [blake2b(words.hash[a:b].tobytes(), digest_size=16).digest() for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)]
-
-
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, digest (of the folded words), bands (bucket keys; none for a text without words), registers (a byte each)."""
 
@@ -110,7 +105,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(np.where(words.count > 0, BANDS, 0))]).astype(np.int32)
                 keys = keys.take(pa.array(np.flatnonzero(np.repeat(words.count > 0, BANDS))))
                 small = (made & _U(0xFF)).astype(np.uint8)
-                yield pa.record_batch([part.column("doc_id"), pa.array(digests(words), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), keys),
+                yield pa.record_batch([part.column("doc_id"), pa.array(words.digests(), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), keys),
                                        pa.array([x.tobytes() for x in small], pa.binary())], ["doc_id", "digest", "bands", "registers"])
 
     return docs.mapInArrow(run, "doc_id long, digest binary, bands array<long>, registers binary")
@@ -150,7 +145,7 @@ def _contents(docs: DataFrame, digests_of: DataFrame, nodes: DataFrame) -> DataF
             for part in slices(batch):
                 words = Words(part.column("text"))
                 value, many = shingles(words, SHINGLE)
-                same = [i for i, (x, y) in enumerate(zip(part.column("digest").to_pylist(), digests(words), strict=True)) if x == y]
+                same = [i for i, (x, y) in enumerate(zip(part.column("digest").to_pylist(), words.digests(), strict=True)) if x == y]
                 each = np.split(value, np.cumsum(many)[:-1])
                 yield pa.record_batch([part.column("digest").take(pa.array(same, pa.int64())), pa.array([expanded(each[i]).tobytes() for i in same], pa.binary())], ["digest", "shingles"])
 
@@ -320,7 +315,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.names.index("text"))
-            same = [x == y for x, y in zip(batch.column(len(names)).to_pylist(), digests(Words(text)), strict=True)]
+            same = [x == y for x, y in zip(batch.column(len(names)).to_pylist(), Words(text).digests(), strict=True)]
             yield batch.filter(pa.array(same, pa.bool_()))
 
     twice = rows.where("k.times > 1").select("d.*", F.col("k.kept").alias("kept digest"))

@@ -1,19 +1,23 @@
 """Vectorised words and hashes of Arrow text columns, for use inside Spark tasks.
 
-Words are maximal runs of bytes outside space and \\t..\\r. A word's hash is a polynomial over random byte values
-modulo 2^64, taken from prefix sums, so a whole batch is hashed with a few array operations and no Python per word.
+Words are maximal runs of bytes outside space and \\t..\\r. The hash of a word of LONG bytes at most is a polynomial over
+random byte values modulo 2^64, taken from prefix sums, so a whole batch is hashed with a few array operations and no
+Python per word. Such sums lose bits on long self-similar strings, whatever the base (two complementary Thue-Morse
+strings of 1024 bytes collide), so longer words, which are few, are hashed by BLAKE2.
 """
 
 from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK = 1 << 18  # bytes hashed at once
+LONG = 32  # bytes; longer spans are hashed one by one
 BATCH_BYTES = 2 << 20  # text bytes that one step of a task works on
 _POWER = 0x9E3779B97F4A7C15 | 1
 _IS_SPACE = np.zeros(256, bool)
@@ -113,6 +117,17 @@ class Words:
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
+    def digests(self) -> list[bytes]:
+        """16 bytes for each row: a digest of its words' bytes with one blank between them."""
+        space = _IS_SPACE[self.data]
+        edge = np.zeros(len(space) + 1, bool)
+        edge[self.rows] = True
+        held = ~space
+        held[1:] |= ~space[:-1] & ~edge[1 : len(space)]  # the first blank after a word
+        packed = np.where(space, np.uint8(32), self.data)[held]
+        at = np.concatenate([[0], np.cumsum(held)])[self.rows].tolist()
+        return [blake2b(packed[a:b].tobytes().rstrip(b" "), digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
+
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
@@ -120,22 +135,20 @@ class Words:
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each data[start:end]. Spans must be ordered by start and by end; none is empty."""
     out = np.empty(len(start), np.uint64)
+    long = end - start > LONG
+    for i in np.flatnonzero(long).tolist():
+        out[i] = int.from_bytes(blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    short = np.flatnonzero(~long)
+    begin, stop = start[short], end[short]
     i = 0
-    while i < len(start):
-        at = start[i]
-        j = int(np.searchsorted(end, at + BLOCK, "right"))
-        if j <= i:  # one span longer than a block
-            j = i + 1
-            n = int(end[i] - at)
-            power, inverse = _powers(_POWER, n), None
-        else:
-            power, inverse = _POW, _INV
-        sums = np.zeros(int(end[j - 1] - at) + 1, np.uint64)
-        part = data[at : end[j - 1]]
-        np.cumsum(_VALUES[part] * power[: len(part)], out=sums[1:])
-        a, b = start[i:j] - at, end[i:j] - at
-        value = sums[b] - sums[a]
-        out[i:j] = mix((value if inverse is None else value * inverse[a]) + (b - a).astype(np.uint64))
+    while i < len(short):
+        at = begin[i]
+        j = int(np.searchsorted(stop, at + BLOCK, "right"))
+        part = data[at : stop[j - 1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUES[part] * _POW[: len(part)], out=sums[1:])
+        a, b = begin[i:j] - at, stop[i:j] - at
+        out[short[i:j]] = mix((sums[b] - sums[a]) * _INV[a] + (b - a).astype(np.uint64))
         i = j
     return out
 

@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from reviewloom.llm import near_duplicates as nd
 from reviewloom.llm.words import Words
+from tests.llm.test_words import thue_morse
 
 
 def bag(text):
@@ -98,3 +99,9 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x", "y")], "a string, b string")
     got = {r["digest"]: r["root"] for r in nd.components(edges).collect()}
     assert len(got) == 63 and {v for k, v in got.items() if k[0] == "n"} == {"n000"} and got["y"] == "x"
+
+
+def test_long_words_that_are_alike_stay_apart(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(x for n in (1024, 65536) for x in thue_morse(n))], "doc_id long, text string")
+    assert sorted(r["class_id"] for r in nd.classes(docs).collect()) == [0, 1, 2, 3]
+    assert nd.keep_one(docs).count() == 4

@@ -36,5 +36,5 @@ def test_stages_decide_and_keep_the_columns(spark, sf):
 
 def test_run_and_registration(spark, sf):
     assert QUERIES["pipeline"](spark, sf).count() > 100
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES) and corpus_pipeline.ORACLE_SQL is None

@@ -56,3 +56,30 @@ def test_cache_starts_anew(monkeypatch):
     for t in texts:
         assert own.counts(pa.array([t]))[0] == len(own.tokenizer.encode(t, add_special_tokens=False).ids)
     assert isinstance(own.keys, np.ndarray) and len(own.keys) < 10
+
+
+def thue_morse(n):
+    """Two strings of n bytes (a power of two) on which sums of byte values times powers agree modulo 2^64."""
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [32, 64, 1024, 2048, 4096, 65536])
+def test_self_similar_strings_differ(n):
+    a, b = thue_morse(n)
+    words = Words(pa.array([a, b, f"x {a} y", f"x {b} y"]))
+    assert len(set(words.hash.tolist())) == 4 and len(set(words.digests())) == 4
+    own = Pieces(vocabulary("word_bpe_49k.json"))
+    flat, at = own.ids(pa.array([a, b]))
+    for i, text in enumerate((a, b)):
+        assert flat[at[i]:at[i + 1]].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    counted = Pieces(vocabulary("byte_bpe_50k.json"))
+    assert [int(x) for x in counted.counts(pa.array([a, b]))] == [len(counted.tokenizer.encode(t, add_special_tokens=False).ids) for t in (a, b)]
+
+
+def test_digests_see_words_only():
+    texts = ["a b", " A\t\tb ", "a  b\n", "ab", "a", "", None, "  ", "a b c", "b a"]
+    got = Words(pa.array(texts)).digests()
+    assert got[0] == got[1] == got[2] and got[5] == got[6] == got[7] and len(set(got)) == 6
