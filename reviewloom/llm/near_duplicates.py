@@ -10,8 +10,9 @@ product.
 Equal texts are one node from the start. Registers are banded; a bucket of a band links its members to one of them (the
 text with most copies), and links are verified on the multisets. Buckets whose members are still in different classes
 then compare, block against block, every member outside the bucket's largest class with all members of other classes,
-so no pair of a bucket goes unseen unless its ends are in one class already. That is done on multisets inside the
-task, and only links leave it; no group is emitted as all its pairs.
+so no pair of a bucket goes unseen unless its ends are in one class already. Signatures are compared first, and a block
+passes on its members that have a likely partner; those members meet again with their multisets. Both happens inside
+tasks, and only members and links leave them; no group is emitted as all its pairs.
 """
 
 from __future__ import annotations
@@ -91,13 +92,14 @@ def bag_minhash(row: np.ndarray, item: np.ndarray, count: np.ndarray, rows: int,
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the folded words), bands (bucket keys; none for a text without words), registers (a byte each)."""
+    """doc_id, digest (of the folded words), bands (bucket keys; none for a text without words), registers (a byte each), items (shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=2 << 20):
                 words = Words(part.column("text"))
-                made = bag_minhash(*multisets(words), part.num_rows)
+                row, item, count = multisets(words)
+                made = bag_minhash(row, item, count, part.num_rows)
                 key = np.tile(np.arange(BANDS, dtype=np.uint64), (part.num_rows, 1))
                 for k in range(ROWS):
                     key = chain(key, made[:, k::ROWS])
@@ -106,9 +108,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys = keys.take(pa.array(np.flatnonzero(np.repeat(words.count > 0, BANDS))))
                 small = (made & _U(0xFF)).astype(np.uint8)
                 yield pa.record_batch([part.column("doc_id"), pa.array(words.digests(), pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), keys),
-                                       pa.array([x.tobytes() for x in small], pa.binary())], ["doc_id", "digest", "bands", "registers"])
+                                       pa.array([x.tobytes() for x in small], pa.binary()), pa.array(np.bincount(row, count, part.num_rows).astype(np.int64))],
+                                      ["doc_id", "digest", "bands", "registers", "items"])
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, bands array<long>, registers binary")
+    return docs.mapInArrow(run, "doc_id long, digest binary, bands array<long>, registers binary, items long")
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -199,32 +202,70 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("digest"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("digest"), F.col("b").alias("root")).distinct())
 
 
-def _cross_links(mixed: DataFrame) -> DataFrame:
-    """Links (a, b) that join different classes of a bucket.
+def _likely_ends(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers (left, right) of a group's pairs whose signatures and sizes allow the similarity, some at a time.
 
-    mixed: bucket, band, digest, root, bands, registers, shingles, out, size, outs. `out` marks members outside the bucket's
+    A pair counts in the first band where it meets, and once: of two left-out members the larger digest is on the left.
+    """
+    left, out, band = group.column("left").to_numpy(), group.column("out").to_numpy(), group.column("band")[0].as_py()
+    sign = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    keys = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    size = group.column("items").to_numpy()
+    digest = np.unique(np.array(group.column("digest").to_pylist(), object), return_inverse=True)[1].reshape(-1)
+    root = np.unique(np.array(group.column("root").to_pylist(), object), return_inverse=True)[1].reshape(-1)
+    x, y = np.flatnonzero(left), np.flatnonzero(~left)
+    for at in range(0, len(x), 16):
+        some = x[at : at + 16]
+        fits = np.minimum(size[some][:, None], size[y][None]) >= SIMILARITY * np.maximum(size[some][:, None], size[y][None])
+        fits &= (root[some][:, None] != root[y][None]) & ~(out[y][None] & (digest[some][:, None] <= digest[y][None]))
+        i, j = np.nonzero(fits)
+        for part in range(0, len(i), 1 << 15):
+            p, q = some[i[part : part + (1 << 15)]], y[j[part : part + (1 << 15)]]
+            near = (sign[p] == sign[q]).sum(1) >= (SIMILARITY - MARGIN) * REGISTERS
+            p, q = p[near], q[near]
+            first = (keys[p] == keys[q]).argmax(1) == band
+            if first.any():
+                yield p[first], q[first]
+
+
+_ROW = "bucket long, o int, p int, left boolean, band int, digest binary, root binary, out boolean, items long, bands array<long>, registers binary"
+
+
+def _with_partners(mixed: DataFrame) -> DataFrame:
+    """The members of mixed buckets that have a likely partner in another class, once for each pair of blocks they are in.
+
+    mixed: bucket, band, digest, root, out, size, outs, items, bands, registers. `out` marks members outside the bucket's
     largest class. They and all members are dealt into blocks, and each pair of blocks is one group of 2 x BLOCK rows or
-    so, however large the bucket is. A pair is looked at in the first band where it meets, its multisets are compared if
-    the signatures allow it and its classes are not linked yet in the group, and only links leave the task: fewer than
-    the group has classes.
+    so, however large the bucket is.
     """
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     place = F.xxhash64("digest", F.lit("block"))
     upto = lambda n: F.sequence(F.lit(0), F.greatest(blocks(n) - 1, F.lit(0)))
     mine = F.pmod(place, blocks("outs")).cast("int")
     theirs = F.pmod(place, blocks("size")).cast("int")
-    carried = ["band", "digest", "root", "bands", "registers", "shingles", "out"]
+    carried = ["band", "digest", "root", "out", "items", "bands", "registers"]
     outs = mixed.where("out").select("bucket", mine.alias("o"), F.explode(upto("size")).alias("p"), F.lit(True).alias("left"), *carried)
     alls = mixed.select("bucket", F.explode(upto("outs")).alias("o"), theirs.alias("p"), F.lit(False).alias("left"), *carried)
-    least = (SIMILARITY - MARGIN) * REGISTERS
 
     def compare(group: pa.Table) -> pa.Table:
-        left, out, band = group.column("left").to_numpy(), group.column("out").to_numpy(), group.column("band")[0].as_py()
+        has = np.zeros(group.num_rows, bool)
+        for p, q in _likely_ends(group):
+            has[p] = has[q] = True
+        return group.filter(pa.array(has))
+
+    return outs.union(alls).groupBy("bucket", "o", "p").applyInArrow(compare, _ROW)
+
+
+def _cross_links(ends: DataFrame, contents: DataFrame) -> DataFrame:
+    """Links (a, b) that join different classes of a bucket; ends: of _with_partners(), contents: digest, shingles.
+
+    The multisets of a likely pair are compared if its classes are not linked yet in the group, and only links leave the
+    task: fewer than the group has classes.
+    """
+
+    def compare(group: pa.Table) -> pa.Table:
         digest, root = group.column("digest").to_pylist(), group.column("root").to_pylist()
-        sign = np.frombuffer(b"".join(group.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-        keys = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         content = [np.frombuffer(v, np.uint64) for v in group.column("shingles").to_pylist()]
-        size = np.array([len(c) for c in content])
         top = {r: r for r in root}
 
         def find(r: bytes) -> bytes:
@@ -233,17 +274,9 @@ def _cross_links(mixed: DataFrame) -> DataFrame:
                 r = top[r]
             return r
 
-        x, y = np.flatnonzero(left), np.flatnonzero(~left)
         a, b = [], []
-        for at in range(0, len(x), 16):
-            some = x[at : at + 16]
-            equal = sign[some][:, None, :] == sign[y][None]
-            fits = np.minimum(size[some][:, None], size[y][None]) >= SIMILARITY * np.maximum(size[some][:, None], size[y][None])
-            i, j = np.nonzero((equal.sum(2) >= least) & fits)
-            first = (keys[some[i]] == keys[y[j]]).argmax(1) == band
-            for p, q in zip(some[i[first]].tolist(), y[j[first]].tolist(), strict=True):
-                if out[q] and digest[p] <= digest[q]:
-                    continue
+        for left, right in _likely_ends(group):
+            for p, q in zip(left.tolist(), right.tolist(), strict=True):
                 r, s = find(root[p]), find(root[q])
                 if r != s and overlap(content[p], content[q]) >= SIMILARITY:
                     top[r] = s
@@ -251,13 +284,13 @@ def _cross_links(mixed: DataFrame) -> DataFrame:
                     b.append(digest[q])
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return outs.union(alls).groupBy("bucket", "o", "p").applyInArrow(compare, "a binary, b binary")
+    return ends.join(contents, "digest").groupBy("bucket", "o", "p").applyInArrow(compare, "a binary, b binary")
 
 
 def _classes(docs: DataFrame) -> DataFrame:
     """doc_id, digest, class_id, copies of each row; docs: doc_id, text."""
     made = cut(signatures(docs))
-    nodes = cut(made.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("registers").alias("registers")))
+    nodes = cut(made.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.first("items").alias("items")))
     members = nodes.select("digest", "copies", F.posexplode("bands").alias("band", "bucket"))
     buckets = cut(members.groupBy("bucket").agg(F.count("*").alias("size"), F.max_by("digest", F.struct("copies", "digest")).alias("rep")).where("size > 1"))
     members = cut(members.drop("copies").join(buckets, "bucket"))
@@ -269,9 +302,10 @@ def _classes(docs: DataFrame) -> DataFrame:
     split = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = (split.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("size"), F.max("n").alias("n"))
                .where("n < size").select("bucket", "largest", "size", (F.col("size") - F.col("n")).alias("outs")))
-    mixed = cut(placed.select("bucket", "band", "digest", "root").join(largest, "bucket").withColumn("out", F.col("root") != F.col("largest")).drop("largest"))
-    contents = cut(_contents(docs, mixed.select("digest").distinct(), nodes).join(nodes.select("digest", "bands", "registers"), "digest"))
-    links = links.union(cut(_cross_links(mixed.join(contents, "digest"))))
+    mixed = placed.select("bucket", "band", "digest", "root").join(largest, "bucket").withColumn("out", F.col("root") != F.col("largest")).drop("largest")
+    ends = cut(_with_partners(mixed.join(nodes.select("digest", "items", "bands", "registers"), "digest")))
+    contents = _contents(docs, ends.select("digest").distinct(), nodes)
+    links = links.union(cut(_cross_links(ends, contents)))
     root = components(links)
     ids = nodes.select("digest", "doc_id", "copies").join(root, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     # Where an id is repeated in different texts it may be the smallest of several classes; those get numbers of their own.
