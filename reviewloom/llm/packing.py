@@ -97,7 +97,7 @@ class Places:
 
 def tokenize(docs: DataFrame, path: str, window: int, end_id: int, with_ids: bool) -> DataFrame:
     """One row per piece of each document: its ids cut at multiples of the window."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long" + ", ids array<int>" * with_ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path)
@@ -121,8 +121,8 @@ def tokenize(docs: DataFrame, path: str, window: int, end_id: int, with_ids: boo
                     if with_ids:
                         ids.append(np.append(flat[x:y], end_id).astype(np.int32) if z else flat[x:y].astype(np.int32))
                 take = pa.array(doc)
-                columns = [part.column("doc_id").take(take), pa.array(start), pa.array(length), pa.array(crc), pa.array(total[doc]), part.column("salt").take(take)]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
+                columns = [part.column("doc_id").take(take), pa.array(start), pa.array(length), pa.array(crc), pa.array(total[doc])]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
                     names.append("ids")
@@ -139,9 +139,10 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     of several pieces first, then the whole windows.
     """
     buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"),
-                       F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("salt"))
-    cutted = cut(tokenize(docs, path, window, end_id, with_ids))
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # The windows of one huge document, and texts under one id or none, are ranked in all buckets.
+    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).alias("salt")
+    cutted = cut(tokenize(docs, path, window, end_id, with_ids).select("*", salt))
     counts = cut(cutted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     # The histogram has at most `window` rows.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
