@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -239,3 +240,16 @@ def test_frequent_pre_tokens_of_all_documents(spark):
     hashes = [int(span_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([len(t)]))[0]) for t in texts]
     assert got == dict(zip(hashes, map(len, encoded("byte_bpe_50k.json", texts))))
     assert token_counts.frequent_table(docs, path, 1)[0].tolist() == hashes[-1:]
+
+
+def test_heavy_hitters_of_all_tasks(spark):
+    """Every pre-token above the summary's share is held with its piece, and the table changes no count."""
+    rng = random.Random(5)
+    texts = [" ".join([f"hot{rng.randint(0, 4)}" for _ in range(20)] + [f"rare{i}x{j}" for j in range(30)]) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, ""])], "doc_id long, text string").repartition(7)
+    found = token_counts.heavy_hitters(docs, True, 40)
+    assert len(found.keys) <= 40 and {f" hot{k}".encode() for k in range(5)} <= set(found.pieces)
+    assert len(token_counts.heavy_hitters(docs.limit(0), True).keys) == 0
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, vocabulary("byte_bpe_50k.json")).collect()}
+    assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate([*texts, None, ""])}
