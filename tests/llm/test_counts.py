@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -91,33 +92,66 @@ def test_bin_patterns_use_everything_once():
 
 
 def brute_scores(rows, k):
+    """Interpolated n-gram probabilities by plain counting, 0 standing for the end and the start of a text."""
     tokens = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [0]) for r in rows]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in tokens]
-    words, pairs = Counter(), Counter()
+    grams = Counter()
     for (_, t), h in zip(tokens, held):
+        s = [0] + t
         if not h:
-            words.update(t)
-            pairs.update(zip([1] + t, t))
+            grams.update(tuple(s[i - j:i + 1]) for i in range(1, len(s)) for j in range(min(i, len(k)) + 1))
+    words = {g: c for g, c in grams.items() if len(g) == 1}
     n, v = sum(words.values()), len(words)
-    words[1] = held.count(False)
     out = []
     for (i, t), h in zip(tokens, held):
-        root = [(words[w] + 1) / (n + v + 1) for w in t]
-        full = [(pairs[p, w] + k * q) / (words[p] + k) for p, w, q in zip([1] + t, t, root)]
-        out.append((i, h, len(t), sum(words[w] > 0 for w in t), n, sum(map(math.log10, root)), sum(map(math.log10, full))))
+        s, base, full = [0] + t, 0.0, 0.0
+        for at in range(1, len(s)):
+            p = (grams[(s[at],)] + 1) / (n + v + 1)
+            base += math.log10(p)
+            for j in range(1, min(at, len(k)) + 1):
+                p = (grams[tuple(s[at - j:at + 1])] + k[j - 1] * p) / (grams[tuple(s[at - j:at])] + k[j - 1])
+            full += math.log10(p)
+        out.append((i, h, len(t), sum((w,) in words for w in t), n, base, full))
     return out
 
 
-@pytest.mark.parametrize("bucket_bytes", [8 << 20, 1 << 12])
-def test_lm_scores_equal_brute_force(documents, odd_docs, spark, sf, bucket_bytes):
+@pytest.mark.parametrize("bucket_bytes, k", [(None, lm_scoring.K), (1 << 12, (200.0,)), (1 << 14, (20.0, 5.0)), (1 << 16, ()), (None, (9.0, 4.0, 2.0))])
+def test_lm_scores_equal_brute_force(documents, odd_docs, spark, sf, bucket_bytes, k):
     docs = odd_docs.select("doc_id", "text").union(spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40").select(F.col("doc_id") + 1000, "text"))
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[6])
-    got = sorted(map(tuple, lm_scoring.score(docs, bucket_bytes=bucket_bytes).collect()), key=key)
-    want = sorted(brute_scores(docs.collect(), lm_scoring.K), key=key)
+    got = sorted(map(tuple, lm_scoring.score(docs, bucket_bytes=bucket_bytes, k=k).collect()), key=key)
+    want = sorted(brute_scores(docs.collect(), k), key=key)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], atol=1e-6)
 
 
+def automaton(texts, k):
+    grams = lm_scoring.Grams(pa.array(texts, pa.large_string()), len(k) + 1)
+    sums = [np.bincount(i[at], minlength=len(keys)) for keys, at, i in zip(grams.keys, grams.at, grams.index)]
+    return grams, sums, lm_scoring.Automaton(grams, sums, int(sums[0].sum()), len(sums[0]), k)
+
+
+def test_lanes_carry_the_state_of_one_traversal():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 300))) for _ in range(20)]
+    grams, _, own = automaton(texts, (3.0, 2.0))
+    whole = own.traverse(grams, 1 << 20)
+    assert all(np.allclose(own.traverse(grams, lane), whole, atol=1e-9) for lane in (1, 2, 3, 64))
+
+
+def test_arcs_and_failures_make_a_distribution():
+    grams, sums, own = automaton(["a b c a b d", "b c a a", "d"], (3.0, 2.0))
+    v, n = len(sums[0]), int(sums[0].sum())
+    words = np.arange(v, dtype=np.int64)
+    for state in [0, *(1 + np.arange(v)), *(1 + v + np.arange(len(grams.keys[1])))]:
+        weight, _ = own.step(np.full(v, state, np.int64), words)
+        unknown, at = 1 / (n + v + 1), state  # the root's share for a word never seen, reached over failure arcs
+        while at:
+            unknown, at = unknown * 10 ** own.fail_weight[at], own.fail_target[at]
+        ends = state == 1 + grams.index[0][0] or state > v and grams.token[grams.seen[1][state - 1 - v]] == lm_scoring._END
+        assert ends or abs((10**weight).sum() + unknown - 1) < 1e-9
+
+
 def test_lm_is_a_distribution_and_odd_tables(odd_docs):
     assert lm_scoring.score(odd_docs.limit(0)).count() == 0
     only_held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:1]
