@@ -1,3 +1,4 @@
+import itertools
 import re
 import zlib
 
@@ -78,27 +79,55 @@ def test_host_path_and_rules(spark):
     assert got[10][2:] == (None, "allow") and got[11][2:] == (None, "allow") and got[12] == ("a\nb.com", "/en/", "com/", "allow")
 
 
+def sure(bad, n, z=urls.Z):
+    p = bad / n
+    return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+
+
+def brute_rules(sets):
+    """sets: (tokens, block, held) of each labelled url."""
+    mined, held = [x for x in sets if not x[2]], [x for x in sets if x[2]]
+    every = {frozenset(c) for s, _, _ in mined for k in range(1, len(s) + 1) for c in itertools.combinations(sorted(s), k)}
+    rate = lambda rows: sum(b for _, b, _ in rows) / len(rows)
+    conf = {}
+    for c in every:
+        inside, outside = [x for x in mined if c <= x[0]], [x for x in held if c <= x[0]]
+        bad = sum(b for _, b, _ in inside)
+        if bad >= max(urls.MIN_COUNT, urls.MIN_SUPPORT * len(mined)) and sure(bad, len(inside)) >= max(urls.MIN_CONFIDENCE, urls.MIN_LIFT * rate(mined)):
+            if outside and rate(outside) > rate(held):
+                conf[c] = sure(bad, len(inside))
+    return {tuple(sorted(c)): p for c, p in conf.items() if not any(conf.get(c - {x}, 0) >= p - 1e-12 for x in c)}
+
+
 def test_mined_rules_equal_brute_force(spark):
     rng = np.random.RandomState(3)
     rows = []
-    for i in range(400):
+    for i in range(900):
         host, folder, end = f"h{rng.randint(4)}.org", f"f{rng.randint(3)}", rng.choice([".html", ".php"])
         bad = rng.rand() < (0.9 if (host, folder) == ("h1.org", "f2") else 0.7 if end == ".php" and folder == "f0" else 0.1)
         rows.append((f"http://{host}/{folder}/{i}{end}", bool(bad)))
     labelled = spark.createDataFrame(rows, "url string, block boolean")
     got = {tuple(r["items"]): r["confidence"] for r in urls.mine_rules(labelled).collect()}
-    sets = [(set(t), b) for t, b in labelled.select(urls.tokens(F.col("url")), "block").collect()]
-    every = {frozenset(c) for s, _ in sets for k in range(1, len(s) + 1) for c in __import__("itertools").combinations(sorted(s), k)}
-    base, conf = sum(b for _, b in sets) / len(sets), {}
-    for c in every:
-        n, bad = sum(c <= s for s, _ in sets), sum(c <= s and b for s, b in sets)
-        if bad / len(sets) >= urls.MIN_SUPPORT and bad / n >= urls.MIN_CONFIDENCE and bad / n / base >= urls.MIN_LIFT:
-            conf[c] = bad / n
-    want = {tuple(sorted(c)): p for c, p in conf.items() if not any(conf.get(c - {x}, 0) >= p for x in c)}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got) and got
-    judged = {r["page_id"]: r["verdict"] for r in urls.judge(labelled.select(F.monotonically_increasing_id().alias("page_id"), "url"), labelled, []).collect()}
-    held = [any(set(c) <= s for c in want) for s, _ in sets]
-    assert sum(v == "block" for v in judged.values()) == sum(held)
+    held = F.pmod(F.xxhash64("url"), F.lit(urls.HELD)) == 0
+    sets = [(set(t), b, h) for t, b, h in labelled.select(urls.tokens(F.col("url")), "block", held).collect()]
+    want = brute_rules(sets)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got) and got
+    judged = urls.judge(labelled.select(F.monotonically_increasing_id().alias("page_id"), "url"), labelled, []).collect()
+    assert len(judged) == 900 and sum(r["verdict"] == "block" for r in judged) == sum(any(set(c) <= s for c in want) for s, _, _ in sets)
+
+
+def test_rules_need_evidence(spark):
+    few = spark.createDataFrame([(f"http://bad.org/x/{i}", True) for i in range(9)] + [(f"http://good.org/x/{i}", False) for i in range(200)], "url string, block boolean")
+    assert urls.mine_rules(few).count() == 0  # nine blocked urls are not enough
+    rng = np.random.RandomState(1)
+    noise = spark.createDataFrame([(f"http://h{rng.randint(9)}.org/f{rng.randint(9)}/{i}", bool(rng.rand() < 0.25)) for i in range(600)], "url string, block boolean")
+    assert urls.mine_rules(noise).count() == 0
+
+
+def test_tokens_of_names_values_and_parents(spark):
+    got = spark.createDataFrame([("https://a.b.Example.com/x/Cheap-pills_2024.html?q=1&z",)], "url string").select(urls.tokens(F.col("url"))).first()[0]
+    assert set(got) == {"scheme:https", "host:a.b.example.com", "domain:b.example.com", "domain:example.com", "top:com", "folder:x", "name:cheap",
+                        "name:pills", "ending:.html", "query:q", "query:z", "value:q=1"}
 
 
 def test_language_held_out_and_odd_rows(spark, sf, documents, odd_docs):
