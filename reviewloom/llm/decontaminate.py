@@ -3,7 +3,8 @@
 Words are runs of a-z, 0-9 and everything outside ASCII, after A-Z is lower-cased. The test set's windows (n words, or
 all words of an item that has fewer) become a table of hashes; every window of a document is hashed and looked up, and a
 hit counts when the words themselves are equal. The table is broadcast while its measured number of windows is within
-BROADCAST_WINDOWS; beyond that Spark joins by shuffle. One pass over the texts serves counts and hits: each document
+BROADCAST_WINDOWS; beyond that keys and places are joined by shuffle without any word, and the words of documents with
+a candidate are met once per document to compare them, so a benchmark may have any size. One pass over the texts serves counts and hits: each document
 adds one marker row to its hits, and only those rows are grouped.
 """
 
@@ -14,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.llm.shared import cut, fold
+from reviewloom.llm.shared import cut, fold, quoted
 
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 N = 10
@@ -43,20 +44,45 @@ def item_windows(items: DataFrame, n: int = N) -> DataFrame:
     return rows.groupBy("size", "window").agg(F.collect_set("id").alias("ids"))
 
 
+def _window_keys(sizes: list[int]) -> list[Column]:
+    """For each size, the keys of all windows of `w`."""
+    made = []
+    for size in sizes:
+        last = F.size("w") - size + 1
+        places = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        made.append(F.transform(places, _keyed(size)))
+    return made
+
+
+def _scan_by_shuffle(split: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """The rows of _scan for a benchmark of any size. A hit of repeated documents is one row; markers stay one per row."""
+    markers = split.select("doc_id", "digest", F.size("w").alias("n_words"), F.lit(-1).alias("pos"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("ids"))
+    places = split.select("doc_id", "digest", F.explode(F.concat(*_window_keys(sizes))).alias("at")).select("doc_id", "digest", "at.*")
+    table = windows.select(F.xxhash64("window").alias("key"), "size", "window", "ids")
+    likely = places.distinct().join(table, ["key", "size"]).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("pos", "size", "window", "ids")).alias("hits"))
+    likely = cut(likely).alias("h")  # one row per document with a candidate, as long as its text
+    texts = split.alias("s").join(likely.alias("h"), _same_document("s", "h"), "left_semi").dropDuplicates(["doc_id", "digest"]).alias("s")
+    held = F.filter("h.hits", lambda x: F.slice("s.w", x["pos"], x["size"]) == x["window"])
+    hits = texts.join(likely, _same_document("s", "h")).select("s.doc_id", "s.digest", F.size("s.w").alias("n_words"), F.explode(held).alias("hit"))
+    return markers.unionByName(hits.select("doc_id", "digest", "n_words", "hit.pos", "hit.size", "hit.ids"))
+
+
+def _same_document(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.digest") == F.col(f"{b}.digest"))
+
+
 def _scan(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """One marker row (pos -1) per row of `docs` and one row per hit window: doc_id, digest, n_words, pos, size, ids."""
     windows = cut(item_windows(items, n))
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most n different ones
+    split = docs.select("doc_id", F.xxhash64("text", F.crc32(F.col("text").cast("binary"))).alias("digest"), words(F.col("text")).alias("w"))
+    if windows.count() > BROADCAST_WINDOWS:
+        return _scan_by_shuffle(split, windows, sizes)
     marker = docs.sparkSession.range(1).select(F.lit(_MARK).cast("bigint").alias("key"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("window"), F.array().cast("array<string>").alias("ids"))
     table = windows.select(F.xxhash64("window").alias("key"), "size", "window", "ids").unionByName(marker)
-    if windows.count() <= BROADCAST_WINDOWS:
-        table = F.broadcast(table)
-    split = docs.select("doc_id", F.xxhash64("text", F.crc32(F.col("text").cast("binary"))).alias("digest"), words(F.col("text")).alias("w"))
+    table = F.broadcast(table)
     keys = F.array(F.struct(F.lit(_MARK).cast("bigint").alias("key"), F.lit(0).alias("size"), F.lit(-1).alias("pos")))
-    for size in sizes:
-        last = F.size("w") - size + 1
-        places = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        keys = F.concat(keys, F.transform(places, _keyed(size)))
+    keys = F.concat(keys, *_window_keys(sizes))
     found = split.select("doc_id", "digest", "w", F.explode(keys).alias("at")).select("doc_id", "digest", "w", "at.*").alias("d")
     same = (F.col("d.key") == F.col("t.key")) & (F.col("d.size") == F.col("t.size")) & (
         (F.col("d.size") == 0) | (F.expr("slice(d.w, greatest(d.pos, 1), d.size)") == F.col("t.window")))
@@ -88,7 +114,10 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
-    """The documents without any hit word, with all their columns."""
+    """The documents without any hit word, with all their columns.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty benchmark takes nothing out.
+    """
     key = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     bad = cut(_scan(key, items, n).where("pos > 0").select("doc_id", "digest").distinct())
     digest = F.xxhash64(F.col("d.text").cast("string"), F.crc32(F.col("d.text").cast("string").cast("binary")))
@@ -98,7 +127,10 @@ def clean_documents(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
 
 
 def clean_spans(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
-    """The documents with every hit word taken out of `text`; what stands between words stays. Other columns stay."""
+    """The documents with every hit word taken out of `text`; what stands between words stays. Other columns stay.
+
+    A null text stays null; repeated rows are cleaned alike; an empty benchmark changes nothing.
+    """
     key = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     hits = (_scan(key, items, n).where("pos > 0").groupBy("doc_id", "digest")
             .agg(F.collect_set(F.struct("pos", "size")).alias("spans")))  # at most n per word of one document
@@ -109,4 +141,4 @@ def clean_spans(docs: DataFrame, items: DataFrame, n: int = N) -> DataFrame:
     gone = F.array_distinct(F.flatten(F.transform("h.spans", lambda s: F.sequence(s["pos"], s["pos"] + s["size"] - 1))))
     kept = F.transform(original, lambda w, i: F.concat(gaps[i], F.when(F.array_contains(gone, i + 1), F.lit("")).otherwise(w)))
     text = F.when(F.col("h.spans").isNull(), F.col("d.text")).otherwise(F.concat(F.array_join(kept, ""), F.element_at(gaps, -1)))
-    return joined.select(*(text.alias(c) if c == "text" else F.col(f"d.{c}") for c in docs.columns))
+    return joined.select(*(text.alias(c) if c == "text" else F.col(f"d.{quoted(c)}") for c in docs.columns))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.llm.shared import plain, quoted
 from reviewloom.llm.words import Words, shingles, slices
 
 K, SHINGLE = 128, 5
@@ -74,10 +75,15 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 
 
 def fingerprint(docs: DataFrame, k: int = K) -> DataFrame:
-    """All columns of `docs` and `fingerprint` and `n_shingles` (estimated), in one pass without a shuffle."""
+    """All columns of `docs` and `fingerprint` and `n_shingles` (estimated), in one pass without a shuffle.
+
+    A null text counts as empty, which has no shingle; repeated rows keep a row each; columns of those two names are
+    replaced; an empty table gives an empty result.
+    """
     keep = [c for c in docs.columns if c not in ("fingerprint", "n_shingles")]
-    docs = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", fingerprint string, n_shingles double"
+    docs, names = plain(docs, keep), keep
+    keep = docs.columns
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema) + ", fingerprint string, n_shingles double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +91,7 @@ def fingerprint(docs: DataFrame, k: int = K) -> DataFrame:
                 made = sketches(part.column("text"), k)
                 yield pa.record_batch([*part.columns, pa.array([write(x) for x in made], pa.string()), pa.array([distinct(x, k) for x in made], pa.float64())], [*keep, "fingerprint", "n_shingles"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names, "fingerprint", "n_shingles")
 
 
 def edit_trial(docs: DataFrame, k: int = K) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.shared import cut, remainder
+from reviewloom.llm.shared import cut, plain, quoted, remainder
 from reviewloom.llm.words import Words, slices, totals
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
@@ -129,7 +129,8 @@ def calibrate(model: Model, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> M
 def train(docs: DataFrame, fold: int = 5, sample: int = SAMPLE) -> Model:
     """A model of the languages in `lang`, from documents whose crc32(doc_id) modulo `fold` is not 0.
 
-    About `sample` documents of each language at most, chosen by a hash of id and text; a fifth of them calibrates.
+    About `sample` different documents of each language at most, chosen by a hash of id and text, repeated rows once; a
+    fifth of them calibrates.
     """
     known = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
              .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), fold) != 0)))
@@ -137,10 +138,10 @@ def train(docs: DataFrame, fold: int = 5, sample: int = SAMPLE) -> Model:
     if not count:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     langs = sorted(count)
-    most = F.lit(0)
+    most = F.lit(0).cast("long")
     for i, lang in enumerate(langs):
-        most = F.when(F.col("lang") == lang, int(min(1.0, sample / count[lang]) * (1 << 20)) + 1).otherwise(most)
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 20)) < most)
+        most = F.when(F.col("lang") == lang, int(min(1.0, sample / count[lang]) * (1 << 40)) + 1).otherwise(most)
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < most).dropDuplicates(["doc_id", "text", "lang"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,9 +168,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     rejected, and those whose score stays under the model's threshold.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    docs = docs.select(*keep)
+    docs, names = plain(docs, keep), keep
+    keep = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double, rejected boolean"
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double, rejected boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shared.value)
@@ -183,7 +185,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     lang[known], score[known] = best[known], p[known]
                 yield pa.record_batch([*part.columns, pa.array(names[lang], pa.string()), pa.array(score), pa.array(~known | (score < model.threshold))], [*keep, "lang_pred", "score", "rejected"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names, "lang_pred", "score", "rejected")
 
 
 def identify(docs: DataFrame, fold: int = 5) -> DataFrame:

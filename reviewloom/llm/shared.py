@@ -29,6 +29,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def quoted(name: str) -> str:
+    """A column name as a plain name, whatever dots or quotes it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def plain(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep`, those with dots or quotes under other names, as mapInArrow takes none; toDF() names them back."""
+    used = set(keep)
+    free = (n for n in (f"_c{i}" for i in range(2 * len(keep))) if n not in used)
+    return docs.select(*(F.col(quoted(c)).alias(next(free)) if "." in c or "`" in c else F.col(c) for c in keep))
+
+
 def fold(column: Column) -> Column:
     """A-Z lower-cased, nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.shared import cut, remainder
+from reviewloom.llm.shared import cut, plain, quoted, remainder
 from reviewloom.llm.words import Memo, Words, chain, hash_column, kept, maxima, slices, totals
 
 SAMPLE = {1: 2500, 0: 5000}  # labelled documents, about, that the model is fitted on, by label
@@ -114,8 +115,9 @@ def _distance(ordinary: bytes, toxic: bytes) -> Distance:
 def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: dict[int, int] = SAMPLE) -> Model:
     """A model from labelled documents whose crc32(doc_id) modulo `fold` is not 0.
 
-    At most about `sample` documents of each label are used, chosen by a hash of the id; they are split once more, two
-    thirds for the dictionaries and one third for threshold and weights.
+    At most about `sample` different documents of each label are used, chosen by a hash of the id and, where ids repeat,
+    of the text too; repeated rows are used once. They are split once more, two thirds for the dictionaries and one
+    third for threshold and weights.
     """
     toxic = F.col("toxic").cast("int")
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), toxic.alias("toxic"))
@@ -125,11 +127,15 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: dict[int, i
     if len(count) < 2:
         return Model(prior=float(1 in count))
     share = {k: min(1.0, sample[k] / n) for k, n in count.items()}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    ids = known.where(place < F.when(F.col("toxic") == 1, int(share[1] * (1 << 20)) + 1).otherwise(int(share[0] * (1 << 20)) + 1))
+    below = lambda part: F.when(F.col("toxic") == 1, int(part[1] * (1 << 40)) + 1).otherwise(int(part[0] * (1 << 40)) + 1)
+    ids = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < below(share))
     # The ids are at most about sum(sample.values()), so they can go to every executor.
-    chosen = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id")
-                 .where("text IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3))))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(ids), "doc_id").where("text IS NOT NULL")
+    many = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    part = {k: 1.0 if many.get(k, 0) <= 1.2 * sample[k] else sample[k] / many[k] for k in sample}  # under 1 only where ids repeat
+    share = {k: share[k] * part[k] for k in share}
+    chosen = cut(rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < below(part)).dropDuplicates(["doc_id", "text"])
+                .withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3))))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,8 +148,13 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: dict[int, i
                 label = part.column("toxic").to_numpy()[words.row]
                 key = chain(chain(before, words.hash), label.astype(np.uint64))
                 _, at = np.unique(key, return_index=True)
-                at = at[words.end[at] - words.start[at] <= LONGEST]
-                yield pa.record_batch([pa.array([words.word(i) for i in at], pa.binary()), hash_column(before[at]), pa.array(label[at], pa.int32())], ["word", "before", "toxic"])
+                made, ahead, marks = [], [], []
+                for i in at.tolist():
+                    word, last = words.word(i), int(before[i])
+                    for j in range(0, len(word), LONGEST):
+                        made.append(word[j : j + LONGEST]), ahead.append(last), marks.append(label[i])
+                        last = int.from_bytes(blake2b(made[-1], digest_size=8).digest(), "little")
+                yield pa.record_batch([pa.array(made, pa.binary()), hash_column(np.array(ahead, np.uint64)), pa.array(marks, pa.int32())], ["word", "before", "toxic"])
 
     of = lambda k: F.count(F.when(F.col("toxic") == k, 1))
     support = (chosen.where("part > 0").select("text", "toxic").mapInArrow(pairs, "word binary, before long, toxic int").distinct()
@@ -190,8 +201,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     keep = [c for c in docs.columns if c not in ("score", "n_windows", "n_toxic")]
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    docs = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, n_windows long, n_toxic long"
+    docs, names = plain(docs, keep), keep
+    keep = docs.columns
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.schema) + ", score double, n_windows long, n_toxic long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shared.value)
@@ -204,7 +216,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.record_batch([*part.columns, pa.array(model.scores(top, hits, words.count), pa.float64()), pa.array(words.count.astype(np.int64)), pa.array(hits.astype(np.int64))],
                                       [*keep, "score", "n_windows", "n_toxic"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names, "score", "n_windows", "n_toxic")
 
 
 def classify(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from reviewloom.llm import decontaminate, language, toxicity, urls
+from reviewloom.llm import decontaminate, fingerprints, language, toxicity, urls
 from reviewloom.llm.catalog import QUERIES
 from reviewloom.llm.words import Memo, Words
 
@@ -49,6 +49,42 @@ def test_contamination_equals_brute_force(make_docs, items, odd_docs):
     assert all(r["contaminated"] == (r["n_hit"] > 0) for r in got)
 
 
+@pytest.mark.parametrize("limit", [-1, 1 << 20])
+def test_a_benchmark_of_any_size_hits_alike(spark, make_docs, items, odd_docs, monkeypatch, limit):
+    docs = make_docs([(1, "x ONE, two three four five six seven eight nine ten! eleven y", "en"), (3, "a short-item solo short item", "en"),
+                      (3, "a short-item solo short item", "en"), (None, "solo", "en"), (9, "solo " * 3000, "en")]).union(odd_docs)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+    frame = decontaminate.contamination(docs, items)
+    want = sorted((-1 if r["doc_id"] is None else r["doc_id"], *brute_hits(r["text"], ITEMS)) for r in docs.collect())
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_hit"], r["n_items"]) for r in frame.collect()) == want
+    left = decontaminate.clean_documents(docs, items)
+    assert left.count() == odd_docs.count()
+    assert not re.search("Python|Pandas|InArrow", frame._jdf.queryExecution().toString())
+
+
+def test_names_with_dots(spark, items):
+    docs = spark.createDataFrame([(1, "solo x", "en", 1.0)], "doc_id long, text string, lang string, `a.b` double")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert decontaminate.clean_spans(docs, items).first()["a.b"] == 1.0
+    assert decontaminate.clean_documents(docs, items.where("item_id = 1")).first()["a.b"] == 1.0
+    assert toxicity.score(docs, toxicity.train(docs, none)).first()["a.b"] == 1.0
+    assert language.predict(docs, language.train(docs)).first()["a.b"] == 1.0
+    assert fingerprints.fingerprint(docs).first()["a.b"] == 1.0
+
+
+def test_samples_are_bounded_where_one_id_repeats(spark, make_docs):
+    only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)
+    docs = make_docs([(only, f"some text {i} of many", "en") for i in range(3000)] + [(only, "the same text", "en")] * 500)
+    held = []
+    fit = language.fit
+    try:
+        language.fit = lambda rows, langs: held.extend(rows) or fit(rows[:20], langs)
+        language.train(docs, sample=200)
+    finally:
+        language.fit = fit
+    assert 50 < len(held) < 300
+
+
 def test_clean_documents_and_spans(make_docs, items, odd_docs):
     docs = make_docs([(21, "keep Short item, keep", "en")]).union(odd_docs)
     left = decontaminate.clean_documents(docs, items)
