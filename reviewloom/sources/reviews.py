@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +47,44 @@ def read_review_csv(spark: SparkSession, path: str | list[str], schema: T.Struct
     return with_ingest_seq(rows)
 
 
+def read_large_review_csv(spark: SparkSession, path: str | list[str], schema: T.StructType = RAW_SCHEMA,
+                          bad: str = "bad_record") -> DataFrame:
+    """The rows of ``read_review_csv`` with one file read by many tasks, and a column for records that do not parse.
+
+    Files are read by lines in blocks. An index of the quotes per block tells whether a block starts inside a quoted
+    text; within a block a running count of quotes finds the lines where records start. Records of one line are parsed
+    as they are; lines of longer ones, also over block borders, are glued by the number of their record in the file.
+    Lines shuffle once, by block. ``ingest_seq`` ascends with file, block and line. Quotes inside a text are doubled.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (lines.groupBy("file", "block").agg(F.sum("quotes").alias("all"))  # one row per block
+              .select("file", "block", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("before"),
+                      (F.row_number().over(Window.orderBy("file", "block")) - 1).cast("long").alias("ordinal")))
+    inside = Window.partitionBy("file", "block").orderBy("line")
+    sofar = F.sum("quotes").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("before")
+    placed = (lines.withColumn("line", F.monotonically_increasing_id()).join(blocks, ["file", "block"])
+              .withColumn("sofar", sofar).withColumn("place", F.row_number().over(inside) - 1)
+              .where((F.col("block") > 0) | (F.col("place") > 0))  # headers
+              .select("file", "block", "value", F.shiftleft("ordinal", 33).bitwiseOR(F.col("place").cast("long")).alias(SEQ),
+                      ((F.col("sofar") - F.col("quotes")) % 2 == 0).alias("opens"), (F.col("sofar") % 2 == 0).alias("closes")))
+    pieces = placed.where("NOT (opens AND closes)")
+    records = (pieces.groupBy("file", "block").agg(F.count_if("opens").alias("all"))
+               .select("file", "block", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("records")))
+    running = F.count_if("opens").over(Window.partitionBy("file", "block").orderBy(SEQ))
+    glued = (pieces.withColumn("running", running).join(records, ["file", "block"])
+             .groupBy("file", (F.col("running") + F.col("records")).alias("number"))
+             .agg(F.min(SEQ).alias(SEQ), F.array_sort(F.collect_list(F.struct(SEQ, "value"))).alias("parts"))
+             .select(SEQ, F.array_join("parts.value", "\n").alias("record")))
+    whole = placed.where(F.col("opens") & F.col("closes")).select(SEQ, F.col("value").alias("record")).unionByName(glued)
+    whole = whole.select(SEQ, F.regexp_replace("record", "\r$", "").alias("record")).where(F.trim("record") != "")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*schema.fields, T.StructField(bad, T.StringType())])
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
+    return whole.select(F.from_csv("record", fields, options).alias("row"), SEQ).select("row.*", SEQ)
+
+
 def read_review_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -183,3 +183,38 @@ def test_sections_are_replaced_side_by_side(spark, tmp_path):
         list(pool.map(lambda r: sk.replace_sections(rows(r), path), [("kpi", "n", "9", "t2"), ("topics", "k", "10", "t2")]))
     got = {tuple(r) for r in sk.read_metrics(spark, path).collect()}
     assert got == {("kpi", "n", "9", "t2"), ("reply", "n", "3", "t1"), ("topics", "k", "10", "t2")}
+
+
+def test_large_csv_is_read_by_many_tasks(spark, tmp_path):
+    from reviewloom.functions import fixed_values as fv
+    from reviewloom.sources.reviews import read_large_review_csv, read_review_csv
+    for k in range(2):
+        rows = ["\ufeff" + ",".join(fv.REVIEW_COLUMNS)]
+        for i in range(400):
+            text = ['plain', '"two\nlines, ""quoted"""', '"a\n\n\nb"', '""', '"' + "long line\n" * 40 + '"'][i % 5]
+            rows.append(",".join(f"c{i}-{k}" if c != "review_text" else text for c in fv.REVIEW_COLUMNS))
+        (tmp_path / f"part{k}.csv").write_text("\n".join(rows) + "\n", encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        want = read_review_csv(spark, str(tmp_path)).drop("ingest_seq").collect()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        df = read_large_review_csv(spark, str(tmp_path))
+        got = df.collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    plain = lambda rows: sorted(tuple(x or "" for x in r) for r in rows)
+    assert plain(tuple(r)[:-2] for r in got) == plain(map(tuple, want)) and len(got) == 800
+    assert all(r["bad_record"] is None for r in got)
+    order = [r["app_name"] for r in sorted(got, key=lambda r: r["ingest_seq"])]
+    assert order == [f"c{i}-{k}" for k in range(2) for i in range(400)]
+
+
+def test_large_csv_keeps_bad_records(spark, tmp_path):
+    from reviewloom.functions import fixed_values as fv
+    from reviewloom.sources.reviews import read_large_review_csv
+    n = len(fv.REVIEW_COLUMNS)
+    (tmp_path / "a.csv").write_text(",".join(fv.REVIEW_COLUMNS) + "\r\n" + ",".join("x" * n) + "\r\n\r\nonly,three,fields\r\n")
+    rows = sorted(read_large_review_csv(spark, str(tmp_path)).collect(), key=lambda r: r["ingest_seq"])
+    assert [r["bad_record"] for r in rows] == [None, "only,three,fields"]
+    assert [rows[0][c] for c in fv.REVIEW_COLUMNS] == ["x"] * n
