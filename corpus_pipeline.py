@@ -25,7 +25,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under one half."""
+    """Documents with a toxicity score under one half.
+
+    Null and empty texts have no toxic window and stay; repeated rows stay or go together; without labels of both kinds
+    the score is constant, so that all stay unless every label is toxic.
+    """
     scored = toxicity.score(docs.select(*COLUMNS), toxicity.train(docs, table(spark, sf_dir, "labels")))
     return scored.where("score < 0.5").select(*COLUMNS)
 
@@ -36,12 +40,18 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty benchmark takes nothing out.
+    """
     return decontaminate.clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in training windows of 4096 tokens."""
+    """Pieces of the documents in training windows of 4096 tokens.
+
+    A null text is the end token alone; repeated rows are packed each; an empty table gives no piece.
+    """
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), 4096, 2)
 
 

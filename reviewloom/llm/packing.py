@@ -96,7 +96,11 @@ class Places:
 
 
 def tokenize(docs: DataFrame, path: str, window: int, end_id: int, with_ids: bool) -> DataFrame:
-    """One row per piece of each document: its ids cut at multiples of the window."""
+    """One row per piece of each document: its ids cut at multiples of the window.
+
+    A null text counts as empty and has the end id alone; repeated rows and ids have their own pieces each; an empty
+    table gives an empty result; other columns are not read.
+    """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,7 +56,7 @@ def archive(pages: DataFrame) -> DataFrame:
     rows = pages.select(page_id.alias("page_id"), record_bytes(F.col("url").cast("string"), F.col("html").cast("string")).alias("record"))
     rows = rows.select("page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("sha256"))
     lost = -1 - F.pmod(F.xxhash64("sha256"), F.lit(1 << 16))
-    rows = rows.withColumn("file", F.coalesce(F.floor(F.col("page_id") / FILE_RECORDS), lost))
+    rows = rows.withColumn("file", F.coalesce(F.shiftright(F.col("page_id").cast("long"), FILE_RECORDS.bit_length() - 1), lost))
     runs = cut(rows.groupBy("file", "page_id", "length", "sha256").agg(F.count("*").alias("n")))
     runs = _placed(runs, ["file"], ["page_id"])
     # In two steps, so that no array grows with the copies.

@@ -34,6 +34,15 @@ def test_stages_decide_and_keep_the_columns(spark, sf):
     assert {r["doc_id"] for r in pieces} == kept["decontamination"]
 
 
+def test_stages_on_null_ids_repeated_rows_and_no_rows(spark, sf, odd_docs):
+    for rows in (odd_docs.drop("text").withColumn("text", odd_docs["text"]), odd_docs.limit(0)):
+        n = rows.count()
+        toxic = corpus_pipeline.not_toxic(spark, rows, sf).count()
+        clean = corpus_pipeline.decontaminated(spark, rows, sf).count()
+        pieces = corpus_pipeline.packed(spark, rows, sf).where("start = 0").count()
+        assert (toxic, clean, pieces) == (n, n, n)
+
+
 def test_run_and_registration(spark, sf):
     assert QUERIES["pipeline"](spark, sf).count() > 100
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
