@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.llm.shared import cut
+from reviewloom.llm.shared import cut, done_with, sized
 from reviewloom.llm.words import Words, chain, mix, shingles, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -168,7 +168,8 @@ def overlap(x: np.ndarray, y: np.ndarray) -> float:
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs whose multisets overlap by SIMILARITY or more."""
     pairs = cut(_likely(pairs, nodes))
-    ends = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
+    few = sized(pairs, pairs.count())
+    ends = few.select(F.col("a").alias("digest")).union(few.select(F.col("b").alias("digest"))).distinct()
     contents = cut(_contents(docs, ends, nodes))
     side = lambda c: contents.select(F.col("digest").alias(c), F.col("shingles").alias(f"s{c}"))
 
@@ -178,7 +179,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             ok = [overlap(p, q) >= SIMILARITY for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary"))
+    links = cut(few.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary"))
+    done_with(pairs, contents)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -190,16 +193,23 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    while (now := state(edges)) != before:
-        before = now
+    before, now = None, state(edges)
+    while now != before:
+        rows, start = now[0], edges
+        edges = sized(edges, rows)
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = sized(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), rows)
+        large = sized(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), rows)
+        low = sized(large.groupBy("a").agg(F.min("b").alias("m")), rows)
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        edges = cut(small.where("a <> b").distinct())
-    return edges.select(F.col("a").alias("digest"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("digest"), F.col("b").alias("root")).distinct())
+        edges = cut(sized(small.where("a <> b").distinct(), rows))
+        before, now = now, state(edges)
+        done_with(start)
+    # What is left are stars around their smallest nodes.
+    stars = edges.select(F.col("a").alias("digest"), F.col("b").alias("root"))
+    found = cut(sized(stars.union(stars.select(F.col("root").alias("digest"), "root").distinct()), now[0]))
+    done_with(edges)
+    return found
 
 
 def _likely_ends(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -294,9 +304,11 @@ def _classes(docs: DataFrame) -> DataFrame:
     members = nodes.select("digest", "copies", F.posexplode("bands").alias("band", "bucket"))
     buckets = cut(members.groupBy("bucket").agg(F.count("*").alias("size"), F.max_by("digest", F.struct("copies", "digest")).alias("rep")).where("size > 1"))
     members = cut(members.drop("copies").join(buckets, "bucket"))
+    done_with(buckets)
     stars = members.where("digest <> rep").select(F.greatest("digest", "rep").alias("a"), F.least("digest", "rep").alias("b")).distinct()
     links = verified(stars, docs, nodes)
-    root = cut(components(links))
+    root = components(links)
+    done_with(links)
     # Buckets of two are settled; of the others, those whose members are not of one class.
     placed = members.where("size > 2").join(root, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     split = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
@@ -305,8 +317,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     mixed = placed.select("bucket", "band", "digest", "root").join(largest, "bucket").withColumn("out", F.col("root") != F.col("largest")).drop("largest")
     ends = cut(_with_partners(mixed.join(nodes.select("digest", "items", "bands", "registers"), "digest")))
     contents = _contents(docs, ends.select("digest").distinct(), nodes)
-    links = links.union(cut(_cross_links(ends, contents)))
-    root = components(links)
+    links = cut(_cross_links(ends, contents))
+    done_with(members, ends)
+    root = components(root.select(F.col("digest").alias("a"), F.col("root").alias("b")).union(links))
     ids = nodes.select("digest", "doc_id", "copies").join(root, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     # Where an id is repeated in different texts it may be the smallest of several classes; those get numbers of their own.
     lone = -F.shiftrightunsigned(F.xxhash64("root"), 1) - 1

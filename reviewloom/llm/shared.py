@@ -29,6 +29,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sized(df: DataFrame, rows: int, each: int = 1 << 18, least: int = 8) -> DataFrame:
+    """The rows in about rows / each partitions, if that is fewer than there are; no shuffle.
+
+    For steps over far fewer rows than the shuffle they come from was planned for. Rows never all go to one task.
+    """
+    return df.coalesce(max(least, -(-rows // each)))
+
+
+def done_with(*frames: DataFrame) -> None:
+    """Deletes the files of these results of cut(); nothing may read them, or what was made lazily from them, later."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        where = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if where.isDefined():
+            path = context._jvm.org.apache.hadoop.fs.Path(where.get())
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def quoted(name: str) -> str:
     """A column name as a plain name, whatever dots or quotes it holds."""
     return "`" + name.replace("`", "``") + "`"
