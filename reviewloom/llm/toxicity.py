@@ -28,8 +28,7 @@ from reviewloom.llm.shared import cut, plain, quoted, remainder
 from reviewloom.llm.words import Memo, Words, chain, hash_column, kept, maxima, slices, totals
 
 SAMPLE = {1: 2500, 0: 5000}  # labelled documents, about, that the model is fitted on, by label
-SUPPORT, RATIO = 8, 8.0  # a toxic word: so many different words before it, and so many times its share in ordinary text
-ORDINARY_BYTES, TOXIC_BYTES = 9000, 6000  # most text in the dictionaries
+SUPPORT, RATIO = 4, 8.0  # a word: so many different words before it; a toxic one: so many times its share in ordinary text
 LONGEST = 48  # longer words are compressed in slices of so many bytes
 _CODES = np.random.RandomState(5).randint(0, 256, (256, 3)).astype(np.uint8)
 
@@ -41,8 +40,9 @@ def spelt(text: bytes) -> bytes:
 def compressor(text: bytes) -> zstandard.ZstdCompressor:
     """A compressor whose dictionary is this text; strategy and tables suit windows of a few dozen bytes."""
     made = zstandard.ZstdCompressionDict(spelt(text), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    reach = max(15, (3 * len(text)).bit_length())  # matches may lie anywhere in the dictionary
     how = zstandard.ZstdCompressionParameters(
-        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=17, hash_log=15, chain_log=15, search_log=5, min_match=3,
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=reach + 2, hash_log=reach, chain_log=reach, search_log=5, min_match=3,
         target_length=32, strategy=zstandard.STRATEGY_BTOPT, write_checksum=False, write_content_size=False, write_dict_id=False)
     made.precompute_compress(compression_params=how)
     return zstandard.ZstdCompressor(dict_data=made, compression_params=how)
@@ -164,19 +164,15 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample: dict[int, i
         return Model(prior=0.0)
     ratio = (F.col("t") / size[1]) / ((F.col("o") + 0.5) / size[0])
     support = cut(support.where(f"t >= {SUPPORT} OR o >= {SUPPORT}"))
-    bad = support.where((F.col("t") >= SUPPORT) & (ratio >= RATIO)).orderBy(F.desc("t"), "word").limit(1000).collect()
-    good = support.where(~((F.col("t") >= SUPPORT) & (ratio >= RATIO))).orderBy(F.desc("o"), "word").limit(4000).collect()
-
-    def text(rows: list, most: int) -> bytes:
-        out, n = [], 0
-        for r in rows:
-            n += len(r["word"]) + 1
-            if n > most:
-                break
-            out.append(bytes(r["word"]))
-        return b" " + b" ".join(reversed(out)) + b" "  # the commonest last, where a match costs least
-
-    model = Model(text(good, ORDINARY_BYTES), text(bad, TOXIC_BYTES))
+    # Each of these words stands in the sample SUPPORT times or more, so the sample bounds the dictionaries.
+    told = (F.col("t") >= SUPPORT) & (ratio >= RATIO)
+    bad = support.where(told).orderBy(F.desc("t"), "word").collect()
+    good = support.where(~told & (F.col("o") >= SUPPORT)).orderBy(F.desc("o"), "word").collect()
+
+    def text(rows: list) -> bytes:
+        return b" " + b" ".join(bytes(r["word"]) for r in reversed(rows)) + b" "  # the commonest last, where a match costs least
+
+    model = Model(text(good), text(bad))
     ordinary, toxic_text = model.ordinary, model.toxic
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
