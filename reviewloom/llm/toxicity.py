@@ -29,6 +29,7 @@ from reviewloom.llm.words import Memo, Words, chain, hash_column, kept, maxima,
 
 SAMPLE = {1: 2500, 0: 5000}  # labelled documents, about, that the model is fitted on, by label
 SUPPORT, RATIO = 4, 8.0  # a word: so many different words before it; a toxic one: so many times its share in ordinary text
+REMEMBERED = 1 << 18  # words whose difference a worker keeps; the others are compressed again
 LONGEST = 48  # longer words are compressed in slices of so many bytes
 _CODES = np.random.RandomState(5).randint(0, 256, (256, 3)).astype(np.uint8)
 
@@ -53,7 +54,7 @@ class Distance:
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.ordinary, self.toxic = compressor(ordinary), compressor(ordinary + toxic)
-        self.memo = Memo()
+        self.memo = Memo(REMEMBERED)
 
     def of(self, word: bytes) -> int:
         best = -(1 << 15)
