@@ -49,7 +49,8 @@ def keep_first(df: DataFrame, keys: list[str] = fv.DEDUPE_KEY, seq: str = SEQ) -
     """
     place = [SRC, seq] if SRC in df.columns else [seq]
     first = df.groupBy(*key_columns(keys)).agg(F.min(F.struct(*place)).alias("_first")).select("_first.*")
-    return df.join(first, place, "left_semi")
+    # The places are looked up in a hash table of each task's share: the rows with the texts are never sorted.
+    return df.join(first.hint("shuffle_hash"), place, "left_semi")
 
 
 def with_typed_columns(df: DataFrame) -> DataFrame:

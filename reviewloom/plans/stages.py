@@ -27,5 +27,5 @@ def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFram
             raise ValueError("name a shared folder for stage tables, or set spark.checkpoint.dir")
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = f"{folder.rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
