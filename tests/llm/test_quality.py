@@ -116,3 +116,21 @@ def test_no_python_in_the_plan(spark, odd_docs):
     table = spark.createDataFrame([(1, 0.5)], "bucket int, weight double")
     plan = quality.score(odd_docs, table)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_every_trusted_document_counts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BROADCAST", 1000)
+    texts = ["alpha beta " * 30 if i % 2 else f"word{i} gamma " * 30 for i in range(1 << 17)]
+    docs = spark.createDataFrame([(i, t[:12]) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    trusted = quality.trusted_ids(labels)
+    assert trusted.count() == 1 << 17  # more than the 65,536 that were taken once
+    assert {round(r.weight, 9) for r in quality.weights(docs, trusted).collect()} == {0.0}  # both sides count the same
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.RandomState(1)
+    for x in (np.round(rng.randn(500), 2), rng.randn(501) / 1000, np.array([0.25])):
+        got = quality.quantiles(spark.createDataFrame([(float(v),) for v in x], "score double"), [0.5, 0.05])
+        assert np.allclose(got, np.quantile(x, [0.5, 0.05]), atol=1e-12)
+    assert quality.quantiles(spark.createDataFrame([], "score double"), [0.5]) is None
