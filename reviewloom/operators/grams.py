@@ -23,34 +23,57 @@ def with_chars(df: DataFrame, c: Column) -> DataFrame:
     return tx.with_once(df, "_chars", F.split(c, ""))
 
 
-def _short_runs() -> Column:
-    """Single characters and pairs."""
-    return F.concat(char_runs("_chars", 1), char_runs("_chars", 2))
+KEYWORD_RUN = 5
+
+
+def _runs(c: str, n: int) -> Column:
+    """Runs of ``n`` characters of a text, one from each place, by one pass of the regular expression."""
+    return F.regexp_extract_all(F.col(c), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
+def _needles(keywords: DataFrame) -> DataFrame:
+    needle = tx.normalize(F.col("keyword"))
+    return keywords.select("issue_type", "keyword", needle.alias("needle")).filter("needle <> ''").distinct()
+
+
+def likely_keywords(texts: DataFrame, words: DataFrame, doc_id: str = SEQ) -> DataFrame:
+    """(doc, issue_type, keyword, needle): what may be found in ``_norm`` of the texts; a row may come several times.
+
+    Each needle is listed under its rarest run of ``KEYWORD_RUN`` characters in the texts, a shorter one under
+    itself; a needle with a run that no text holds is left out at once.
+    """
+    needles = words.select("needle").distinct()
+    size = F.least(F.length("needle"), F.lit(KEYWORD_RUN))
+    lengths = sorted(r[0] for r in needles.select(size).distinct().collect())
+    if not lengths:
+        return words.limit(0).select(F.lit(None).cast(texts.schema[doc_id].dataType).alias(doc_id), "issue_type", "keyword", "needle")
+    own = F.coalesce(*[F.when(size == n, _runs("needle", n)) for n in lengths])
+    # Stages of known size: where Spark's threshold lets it, they go to the texts, whose many runs then stay in place.
+    parts = materialize(needles.select("needle", F.explode(own).alias("run")).distinct(), "keyword-runs")
+    runs = texts.select(doc_id, F.explode(F.concat(*[_runs("_norm", n) for n in lengths])).alias("run"))
+    counts = runs.join(parts.select("run"), "run", "left_semi").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    counted = parts.join(counts, "run", "left")
+    rarest = counted.groupBy("needle").agg(F.min_by("run", F.struct("n", "run")).alias("run"), F.every(F.col("n").isNotNull()).alias("whole"))
+    listed = materialize(words.join(rarest.filter("whole").drop("whole"), "needle"), "keyword-lists")
+    return runs.join(listed, "run").select(doc_id, "issue_type", "keyword", "needle")
 
 
 def keyword_matches(df: DataFrame, keywords: DataFrame, text_col: str = "clean_text", doc_id: str = SEQ) -> DataFrame:
     """One row per (review, issue type, keyword found), for a dictionary table (issue_type, keyword).
 
-    Each keyword is listed under its pair of characters that the fewest texts hold, or its only
-    character; a keyword with a pair that no text holds is left out at once. A text's runs find the
-    keywords listed under them, and what is found is verified against the text. Run counts are added
-    up in the tasks first; the rows that meet carry no text, and texts move once, by their id. As in
-    the compiled form blanks and case are ignored; empty and null keywords find nothing, and equal
-    rows of the dictionary count once. ``doc_id`` must be unique.
+    A text's runs find the keywords listed under them (``likely_keywords``), and what is found is verified
+    against the text, a text at a time. Run counts are added up in the tasks first, for the dictionary's runs
+    only; the rows that meet carry no text, and texts move once, by their id. As in the compiled form blanks and
+    case are ignored; empty and null keywords find nothing, and equal rows of the dictionary count once.
+    ``doc_id`` must be unique.
     """
-    needle = tx.normalize(F.col("keyword"))
-    words = keywords.select("issue_type", "keyword", needle.alias("needle")).filter("needle <> ''").distinct()
-    texts = df.select(*[c for c in df.columns if c != text_col], tx.normalize(F.col(text_col)).alias("_norm"))
-    runs = with_chars(texts.select(doc_id, "_norm"), F.col("_norm")).select(doc_id, F.explode(_short_runs()).alias("run"))
-    counts = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    split = with_chars(words.select("needle").distinct(), F.col("needle"))
-    own = F.when(F.size("_chars") > 1, char_runs("_chars", 2)).otherwise(char_runs("_chars", 1))
-    parts = split.select("needle", F.explode(own).alias("run")).join(counts, "run", "left")
-    rarest = parts.groupBy("needle").agg(F.min_by("run", F.struct("n", "run")).alias("run"), F.every(F.col("n").isNotNull()).alias("whole"))
-    listed = words.join(rarest.filter("whole").drop("whole"), "needle")
-    likely = runs.join(listed, "run").select(doc_id, "issue_type", "keyword", "needle")
-    found = texts.join(likely, doc_id).filter(F.contains("_norm", "needle"))
-    return found.select(*[c for c in df.columns if c != text_col], "issue_type", "keyword")
+    rest = [c for c in df.columns if c != text_col]
+    texts = df.select(*rest, tx.normalize(F.col(text_col)).alias("_norm"))
+    likely = likely_keywords(texts, _needles(keywords), doc_id).groupBy(doc_id).agg(
+        F.collect_set(F.struct("issue_type", "keyword", "needle")).alias("_likely"))
+    found = F.filter("_likely", lambda x: F.contains(F.col("_norm"), x["needle"]))
+    hits = texts.join(likely, doc_id).select(*rest, F.explode(found).alias("_hit"))
+    return hits.select(*rest, "_hit.issue_type", "_hit.keyword")
 
 
 def fold(c: Column) -> Column:

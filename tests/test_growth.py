@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from reviewloom.operators import cleaning as cl
+from reviewloom.operators import grams as gr
 from reviewloom.operators import issues as iss
 from reviewloom.operators import sampling as sp
 from reviewloom.plans import adapters as ad
@@ -37,3 +38,11 @@ def test_only_the_sample_is_classified(spark, make_reviews):
     assert got.collect() == sp.review_sample(iss.classify(clean, ad.LATIN_RULES), 7).collect()
     text = got._jdf.queryExecution().optimizedPlan().toString()
     assert "_norm" in text and "_norm" not in text[text.index("GlobalLimit"):]
+
+
+def test_keywords_of_common_pairs_are_no_candidates(spark):
+    texts = spark.createDataFrame([(i, "there hereth reherthe ethere") for i in range(20)], "ingest_seq long, _norm string")
+    words = spark.createDataFrame([("a", w, w) for w in ("therehe", "ether", "hethe", "re", "therex")], "issue_type string, keyword string, needle string")
+    got = gr.likely_keywords(texts, words).collect()  # each of the others has pairs that every text holds
+    assert {r.keyword for r in got} == {"ether", "re"} and len(set(got)) == 40
+    assert gr.likely_keywords(texts, words.limit(0)).collect() == []
