@@ -11,18 +11,6 @@ from reviewloom.operators.search import faceted_search
 from reviewloom.plans.stages import materialize
 
 
-def char_runs(chars: str, n: int) -> Column:
-    """Distinct runs of ``n`` characters, from an array column of characters."""
-    last = F.size(chars) - n
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                       lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
-    return F.array_distinct(F.when(last >= 0, runs).otherwise(F.array().cast("array<string>")))
-
-
-def with_chars(df: DataFrame, c: Column) -> DataFrame:
-    return tx.with_once(df, "_chars", F.split(c, ""))
-
-
 KEYWORD_RUN = 5
 
 
@@ -84,17 +72,19 @@ def fold(c: Column) -> Column:
 INDEX_RUN = 3
 
 
-def _run_hashes() -> Column:
-    return F.array_distinct(F.transform(char_runs("_chars", INDEX_RUN), lambda r: F.xxhash64(r)))
+def _run_hashes(c: str) -> Column:
+    return F.array_distinct(F.transform(_runs(c, INDEX_RUN), lambda r: F.xxhash64(r)))
 
 
 def text_index(df: DataFrame, text_col: str = "clean_text", doc_id: str = SEQ, folder: str | None = None) -> DataFrame:
-    """(run, doc): the hashed three-character runs of each text, ordered by run, as a stage table.
+    """(run, doc): the hashed three-character runs of each text, as a stage table whose files are ordered by run.
 
-    A row per run and text, so a run in most texts is spread over files like any other.
+    A row per run and text. Rows stay in the task that cut their text: nothing is shuffled and texts are cut
+    once; a look-up reads the pages of each file that hold the run.
     """
-    rows = with_chars(df.select(doc_id, text_col), fold(F.col(text_col))).select(F.explode(_run_hashes()).alias("run"), doc_id)
-    return materialize(rows.repartitionByRange("run", doc_id).sortWithinPartitions("run", doc_id), "text-index", folder)
+    folded = df.select(doc_id, fold(F.col(text_col)).alias("_folded"))
+    rows = folded.select(F.explode(_run_hashes("_folded")).alias("run"), doc_id)
+    return materialize(rows.sortWithinPartitions("run", doc_id), "text-index", folder)
 
 
 def literal_pieces(pattern: str) -> list[str]:
@@ -149,8 +139,8 @@ def indexed_search(df: DataFrame, index: DataFrame, keyword: str, literal: bool
     spark = df.sparkSession
     wanted: set[int] = set()
     for p in pieces:
-        one = with_chars(spark.range(1).select(F.lit(p).alias("p")), fold(F.col("p")))
-        wanted |= set(one.select(_run_hashes().alias("h")).first()["h"])
+        one = spark.range(1).select(fold(F.lit(p)).alias("_folded"))
+        wanted |= set(one.select(_run_hashes("_folded").alias("h")).first()["h"])
     if wanted:
         hits = index.filter(F.col("run").isin(sorted(wanted)))
         docs = hits.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(wanted))

@@ -46,3 +46,13 @@ def test_keywords_of_common_pairs_are_no_candidates(spark):
     got = gr.likely_keywords(texts, words).collect()  # each of the others has pairs that every text holds
     assert {r.keyword for r in got} == {"ether", "re"} and len(set(got)) == 40
     assert gr.likely_keywords(texts, words.limit(0)).collect() == []
+
+
+def test_the_text_index_cuts_each_text_once_and_shuffles_nothing(spark, monkeypatch):
+    monkeypatch.setattr(gr, "materialize", lambda df, *_: df)
+    texts = spark.createDataFrame([(1, "x", 3.0, "a😀Bc😀d"), (2, "x", 3.0, "a😀b c😀d"), (3, "x", 3.0, None)],
+                                  "ingest_seq long, app_name string, rating double, clean_text string")
+    index = gr.text_index(texts)
+    assert "Exchange" not in plan(index) and "Sort" in plan(index)
+    for word in ("😀bC", "bc😀", "Bc😀D"):
+        assert [r.ingest_seq for r in gr.indexed_search(texts, index, word, literal=True).collect()] == [1]
