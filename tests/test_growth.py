@@ -6,6 +6,7 @@ from reviewloom.operators import cleaning as cl
 from reviewloom.operators import grams as gr
 from reviewloom.operators import issues as iss
 from reviewloom.operators import sampling as sp
+from reviewloom.operators import terms as te
 from reviewloom.plans import adapters as ad
 from reviewloom.plans.stages import materialize
 
@@ -56,3 +57,14 @@ def test_the_text_index_cuts_each_text_once_and_shuffles_nothing(spark, monkeypa
     assert "Exchange" not in plan(index) and "Sort" in plan(index)
     for word in ("😀bC", "bc😀", "Bc😀D"):
         assert [r.ingest_seq for r in gr.indexed_search(texts, index, word, literal=True).collect()] == [1]
+
+
+def test_tokens_are_laid_out_by_document_once(spark, monkeypatch):
+    stages = {}
+    monkeypatch.setattr(te, "materialize", lambda df, name, *_: stages.setdefault(name, df.persist()))
+    docs = spark.createDataFrame([(i, f"one word{i % 3} two") for i in range(9)], "ingest_seq long, clean_text string")
+    weights = te.tfidf(docs, [], min_df=2)
+    assert "Exchange" not in plan(stages["tokens"])
+    assert {r.ingest_seq for r in weights.collect()} == set(range(9))
+    for df in stages.values():
+        df.unpersist()
