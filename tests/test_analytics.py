@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -284,3 +285,17 @@ def test_daily_state_gives_the_figures_of_the_reviews(spark, typed, tmp_path):
     check(df.limit(0), dl.read_state(spark, str(tmp_path / "none")))
     halves = [dl.daily_state(more.filter(F.col("ingest_seq") % 2 == k)) for k in (0, 1)]
     check(more, dl.merge_states(*halves))
+
+
+def test_terms_of_a_group_do_not_meet_in_one_task(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, "a" if i % 5 else "b", f"alpha beta{i % 4} gamma{i % 3}") for i in range(40)],
+                               "ingest_seq long, app_name string, clean_text string")
+    plans, kept = {}, te.materialize
+
+    def watch(frame, name, folder=None):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        return kept(frame, name, folder)
+    monkeypatch.setattr(te, "materialize", watch)
+    top = te.app_top_terms(df, max_df=1.0, folder=str(tmp_path))
+    assert not re.findall(r"hashpartitioning\(app_name#\d+, \d+\)", plans["vocabulary"])
+    assert {r.app_name for r in top.collect()} == {"a", "b"}
