@@ -1,5 +1,7 @@
 """Plans and passes that must not grow faster than their input."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from reviewloom.operators import cleaning as cl
@@ -68,3 +70,20 @@ def test_tokens_are_laid_out_by_document_once(spark, monkeypatch):
     assert {r.ingest_seq for r in weights.collect()} == set(range(9))
     for df in stages.values():
         df.unpersist()
+
+
+def test_what_a_stage_shuffled_does_not_stay(spark, tmp_path):
+    def shuffles():
+        return spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+
+    def step(i):
+        materialize(spark.range(1000).groupBy((F.col("id") % 7 + i).alias("k")).count(), "counts", str(tmp_path))
+    step(0)
+    before = shuffles()
+    for i in range(12):
+        step(i)
+    for _ in range(20):  # the cleaner has its own thread
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before
